@@ -149,10 +149,13 @@ def repeated_spans(docs: DataFrame, threshold: int = 100, carry: tuple[str, ...]
             mine = Sorted(names)
             later, _ = bits_of(block, mine, out, "spans")
             gone = at[mine.spread(later, True)]
-            edge = np.zeros(len(block.data) + 1, np.int32)
-            edge += np.bincount(gone, minlength=len(edge)).astype(np.int32)
-            edge -= np.bincount(gone + threshold, minlength=len(edge)).astype(np.int32)
-            dead = np.cumsum(edge[:-1]) > 0
+            dead = np.zeros(len(block.data), bool)
+            new = np.ones(len(gone), bool)
+            new[1:] = gone[1:] > gone[:-1] + threshold
+            starts = np.flatnonzero(new)
+            for i, j in zip(gone[starts].tolist(), gone[np.append(starts[1:], len(gone))[: len(starts)] - 1].tolist(), strict=True):
+                dead[i : j + threshold] = True
+            del at, names, mine, later, gone, new
             off = block.offsets
             for r in np.flatnonzero(~keep):
                 dead[off[r] : off[r + 1]] = True
