@@ -38,7 +38,7 @@ class Block:
         self.ids = self.table["doc_id"].combine_chunks().cast(pa.int64()).fill_null(LAST_ID).to_numpy(zero_copy_only=False)
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK) -> Iterator[Block]:
     """Cuts a partition's rows into blocks, alike for whatever sizes the batches have."""
     part, sub, held, size = TaskContext.get().partitionId() if TaskContext.get() else 0, 0, [], 0
     for batch in batches:
@@ -47,12 +47,12 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
         at = 0
         while at < len(table):
             base = ends[at - 1] if at else 0
-            stop = int(np.searchsorted(ends, base + BLOCK - size, "left")) + 1
+            stop = int(np.searchsorted(ends, base + limit - size, "left")) + 1
             piece = table.slice(at, min(stop, len(table)) - at)
             held.append(piece)
             size += int(ends[at + len(piece) - 1] - base)
             at += len(piece)
-            if size >= BLOCK:
+            if size >= limit:
                 yield Block(pa.concat_tables(held), f"{part}-{sub}")
                 held, size, sub = [], 0, sub + 1
     if held:
