@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .decontaminate import op4_query
 from .jaccard_join import op9_query
 from .kneser_ney import op1_query
 from .suffix_dedup import op7_query
 
 QUERIES = {
     "op1_kneser_ney": op1_query,
+    "op4_decontaminate": op4_query,
     "op7_suffix_dedup": op7_query,
     "op9_jaccard_join": op9_query,
 }
