@@ -58,6 +58,7 @@ def stl(y: np.ndarray, period: int, seasonal: int, trend: int, robust: bool = Tr
             break
         r = np.abs(y - t - s)
         h = 6 * np.median(r, axis=1, keepdims=True)
+        h = np.maximum(h, 1e-9 * np.abs(y).max(axis=1, keepdims=True) * 1e3)  # residuals of rounding alone are no outliers
         u = r / np.where(h > 0, h, 1)
         weight = np.where(r <= 0.001 * h, 1.0, np.where(r > 0.999 * h, 0.0, (1 - u**2) ** 2))
     return t, s

@@ -29,7 +29,7 @@ def fit_in_dtype(value: Column, dtype: str, nodata: int) -> Column:
         v = F.when(v == lo, float(lo + 1)).otherwise(v)
     elif nodata == hi:
         v = F.when(v == hi, float(hi - 1)).otherwise(v)
-    return F.coalesce(v, F.lit(float(nodata))).cast("long")
+    return F.when(value.isNull(), float(nodata)).otherwise(v).cast("long")
 
 
 def find_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
