@@ -19,6 +19,7 @@ has sets.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from fractions import Fraction
@@ -81,20 +82,23 @@ class Levels:
             self.lows.append(self.highs[-1] + 1)
         return int(np.searchsorted(self.highs, size, "left"))
 
-    def parts(self, level: int) -> int:
-        """Two more than the most tokens in which linked sets of this level and the next may differ: two parts at least agree."""
+    def parts(self, level: int) -> tuple[int, int]:
+        """Into how many parts sets are cut and how many may be empty: linked sets of this level and the next agree on more parts than that."""
         self.of(self.lows[level] if level < len(self.lows) else 1)
         while len(self.highs) < level + 2:
             self.of(self.highs[-1] + 1)
         most = int((1 - self.t) / (1 + self.t) * 2 * self.highs[level + 1])
-        return most + 2
+        each = float(self.t**2 * (1 + self.t) / (2 * (1 - self.t))) if self.t < 1 else 99.0  # tokens in a part, at least
+        mean = 1.2 * most * math.exp(-each)
+        spare = 1 + math.ceil(mean + 3 * math.sqrt(mean))
+        return most + 1 + spare, spare
 
 
 def signatures(s: np.ndarray, levels: Levels) -> np.ndarray:
     """The set's signatures at its own level and the one below.
 
-    Linked sets agree on two parts at least. So a set with one empty part need not
-    hand it in; one with several hands in all, and meets its like there.
+    Linked sets agree on more parts than may be empty. So a set with no more empty
+    parts need not hand them in; one with more hands in all, and meets its like there.
     """
     out = []
     level = levels.of(len(s))
@@ -102,13 +106,13 @@ def signatures(s: np.ndarray, levels: Levels) -> np.ndarray:
     np.cumsum(mix(s), out=prefix[1:])
     for at in (level, level - 1):
         if at >= 0:
-            parts = levels.parts(at)
+            parts, spare = levels.parts(at)
             cuts = np.searchsorted(s, (np.arange(parts + 1, dtype=U) * U((1 << 64) // parts if parts > 1 else 0)), "left")
             cuts[-1] = len(s)
             body = prefix[cuts[1:]] - prefix[cuts[:-1]]
             sig = mix(body * U(0xD6E8FEB86659FD93) + mix(np.arange(parts, dtype=U) + U(at) * U(1 << 32) + U(1)))
             full = cuts[1:] > cuts[:-1]
-            out.append(sig[full] if np.count_nonzero(~full) <= 1 else sig)
+            out.append(sig[full] if np.count_nonzero(~full) <= spare else sig)
     return np.concatenate(out)
 
 

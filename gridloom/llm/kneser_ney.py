@@ -59,7 +59,7 @@ def _ends(h: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(bucket_of(h, n), np.arange(n + 1, dtype=U), "left")
 
 
-def _sum_sorted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sum_sorted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, their summed counts, and the first place of each."""
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
@@ -232,7 +232,7 @@ def _gram_read(raw: pa.Scalar) -> tuple[list[np.ndarray], np.ndarray, np.ndarray
     return [np.repeat(c, runs) for c in chain], words, _counts_read(buf[at:], n)
 
 
-def _store(files: SharedDir, name: str, keys: np.ndarray, counts: np.ndarray, heads: np.ndarray, own: np.ndarray) -> None:
+def store(files: SharedDir, name: str, keys: np.ndarray, counts: np.ndarray, heads: np.ndarray, own: np.ndarray) -> None:
     """Keys, context hashes, then counts and contexts' figures in four bytes each where they fit."""
     width = 4 if max(counts.max(initial=0), own.max(initial=0)) < 1 << 32 else 8
     kind = np.uint32 if width == 4 else np.int64
@@ -269,8 +269,8 @@ def train(docs: DataFrame, order: int = 2, skip_held_out: bool = True) -> Model:
             buf = memoryview(raw.as_buffer())
             n = int(np.frombuffer(buf, np.int64, 1)[0])
             got.append((np.frombuffer(buf, U, n, 8), _counts_read(buf[8 + 8 * n :], n)))
-        keys, counts, _ = _sum_sorted(np.concatenate([k for k, _ in got]), np.concatenate([c for _, c in got]))
-        _store(files, f"words/{b}", keys, counts, np.empty(0, U), np.empty((4, 0), np.int64))
+        keys, counts, _ = sum_sorted(np.concatenate([k for k, _ in got]), np.concatenate([c for _, c in got]))
+        store(files, f"words/{b}", keys, counts, np.empty(0, U), np.empty((4, 0), np.int64))
         return pa.table({"bucket": pa.array([b], pa.int32()), "n": pa.array([len(keys)], pa.int64()), "total": pa.array([int(counts.sum())], pa.int64())})
 
     sizes = slim.mapInArrow(send_words, "bucket int, payload binary").groupBy("bucket").applyInArrow(keep_words, "bucket int, n long, total long").collect()
@@ -296,14 +296,14 @@ def train(docs: DataFrame, order: int = 2, skip_held_out: bool = True) -> Model:
             chain = [np.concatenate([g[0][i] for g in got]) for i in range(len(got[0][0]))]
             del got
             ctx = chain[0] if chain else np.zeros(len(words), U)
-            keys, sums, pick = _sum_sorted(_keys(ctx, words, level), counts)
+            keys, sums, pick = sum_sorted(_keys(ctx, words, level), counts)
             ctx, words, chain = ctx[pick], words[pick], [x[pick] for x in chain]
             stats = np.array([np.count_nonzero(sums == i) for i in (1, 2, 3, 4)] + [int(sums.sum()), np.count_nonzero(sums > 2)], np.int64)
             heads, own = np.empty(0, U), np.empty((4, 0), np.int64)
             if level > 1:
                 heads, back = np.unique(ctx, return_inverse=True)
                 own = np.stack([np.bincount(back, w, len(heads)).astype(np.int64) for w in (sums, sums == 1, sums == 2, sums > 2)])
-            _store(files, f"level{level}/{b}", keys, sums, heads, own)
+            store(files, f"level{level}/{b}", keys, sums, heads, own)
             files.write(f"stats{level}/{b}", json.dumps(stats.tolist()).encode())
             out = _gram_blobs(level - 1, chain[1:], words, np.ones(len(words), np.int64), nb) if level > 1 else iter([(b, b"")])
             got = list(out)
