@@ -1,16 +1,19 @@
 """Self-join of documents by the Jaccard likeness of their word n-gram sets, with signature trees.
 
 1. Every document becomes the set of hashes of its word n-grams; equal sets are one
-   class. Pigeonhole signatures deal the classes out: two sets of likeness >= t
-   differ in at most H tokens, so of more than H parts of the hash space at least
-   one holds the same tokens in both. Classes without a signature in common can't
-   be linked. Size levels make H depend on the set's size.
-2. Classes that signatures connect, directly or by others, form a candidate group;
-   groups (blocks of larger ones, in pairs of compatible sizes) are joined by
-   dual traversal of signature trees: a node holds the OR of its sets' token bitmaps
-   and the range of their sizes, and a pair of nodes is left out when the largest
-   possible overlap is too small, or when both lie in one component already.
-   What remains is compared exactly.
+   class. Signatures deal the classes out: two sets of likeness >= t differ in at
+   most H tokens, so of more than H parts of the hash space at least one holds the
+   same tokens in both. For large sets fewer parts do: as hashed tokens fall at
+   random, one part without a differing token is left, but for a chance of at most
+   2^-64 (that of two equal hashes). Classes without a signature in common can't be
+   linked. Size levels make H depend on the set's size.
+2. Classes that signatures connect, directly or by others, form a candidate group.
+   It is one block, or if too large it is cut by size level and then by hash, and
+   blocks meet in pairs of compatible sizes. They are joined by dual traversal of
+   signature trees: a node holds the OR of its sets' token bitmaps and the range of
+   their sizes, and a pair of nodes is left out when the largest possible overlap
+   is too small, or when both lie in one component already. What remains is
+   compared exactly.
 3. The links found connect classes to components.
 
 No step forms all pairs of a group: a block hands on at most one link fewer than it
@@ -27,7 +30,6 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ._bytes import U, mix, text_bytes, word_hashes
@@ -37,9 +39,12 @@ from ._shared import buckets_for, settle
 from ._skew import join_unique
 
 BITS = 2048
-FANOUT = 8
-#: Sets in a block of a candidate group.
-MEMBERS = 512
+FANOUT = 16
+#: Chance, at most, that a link between two sets at the threshold is not found.
+MISS = 2.0**-64
+#: Weight of a block of a candidate group: tokens, and SET for each set's bitmap.
+BLOCK_WEIGHT = 1 << 20
+SET = 64
 
 
 def shingle_sets(column: pa.Array, n: int) -> list[np.ndarray]:
@@ -75,6 +80,7 @@ class Levels:
 
     def __init__(self, t: Fraction) -> None:
         self.t, self.lows, self.highs = t, [1], []
+        self.plans: list[tuple[int, int, int]] = []
 
     def of(self, size: int) -> int:
         while not self.highs or self.highs[-1] < size:
@@ -82,16 +88,45 @@ class Levels:
             self.lows.append(self.highs[-1] + 1)
         return int(np.searchsorted(self.highs, size, "left"))
 
-    def parts(self, level: int) -> tuple[int, int]:
-        """Into how many parts sets are cut and how many may be empty: linked sets of this level and the next agree on more parts than that."""
-        self.of(self.lows[level] if level < len(self.lows) else 1)
+    def plan(self, level: int) -> tuple[int, int, int]:
+        """For pairs of which the smaller set is of this level: into how many parts sets are cut, from how many tokens on a part is handed in, and with how many smaller ones that still holds."""
         while len(self.highs) < level + 2:
-            self.of(self.highs[-1] + 1)
-        most = int((1 - self.t) / (1 + self.t) * 2 * self.highs[level + 1])
-        each = float(self.t**2 * (1 + self.t) / (2 * (1 - self.t))) if self.t < 1 else 99.0  # tokens in a part, at least
+            self.of(self.highs[-1] + 1 if self.highs else 1)
+        while len(self.plans) <= level:
+            self.plans.append(self._plan(len(self.plans)))
+        return self.plans[level]
+
+    def _plan(self, level: int) -> tuple[int, int, int]:
+        low, high = 2 * self.lows[level], self.highs[level] + self.highs[level + 1]  # of both sizes together
+        t = float(self.t)
+        most = int((1 - self.t) / (1 + self.t) * high)
+        each = low / 2 / (most + 1)
         mean = 1.2 * most * math.exp(-each)
         spare = 1 + math.ceil(mean + 3 * math.sqrt(mean))
-        return most + 1 + spare, spare
+        best = (self._chance(most + 1 + spare, 1, low / 2), most + 1 + spare, 1, spare)
+        for least in range(1, 7):
+            parts = self._fewest(least, [((1 - t) / (1 + t) * x, t / (1 + t) * x) for x in (low, high)])
+            if parts:
+                best = min(best, (self._chance(parts, least, low / 2), parts, least, parts))
+        return best[1:]
+
+    @staticmethod
+    def _tail(mean: float, least: int) -> float:
+        return 1 - math.exp(-mean) * sum(mean**k / math.factorial(k) for k in range(least))
+
+    def _chance(self, parts: int, least: int, size: float) -> float:
+        """Signatures in common of two sets that share a fifth of their tokens, expected."""
+        mean = size / parts
+        return parts * math.exp(-0.8 * mean) * self._tail(mean * 0.2, least)
+
+    def _fewest(self, least: int, ends: list[tuple[float, float]]) -> int:
+        """The fewest parts of which one has no differing token and ``least`` common ones, but for a chance of MISS; 0 if no number does."""
+
+        def sure(parts: int) -> bool:
+            return all(parts * (1 - 1 / parts) ** math.ceil(d) * self._tail(c / parts, least) * 0.97 >= -math.log(MISS) for d, c in ends)
+
+        top = int(ends[1][1] / least) + 2
+        return next((p for p in range(2, top, max(1, top // 400)) if sure(p)), 0)
 
 
 def signatures(s: np.ndarray, levels: Levels) -> np.ndarray:
@@ -106,12 +141,12 @@ def signatures(s: np.ndarray, levels: Levels) -> np.ndarray:
     np.cumsum(mix(s), out=prefix[1:])
     for at in (level, level - 1):
         if at >= 0:
-            parts, spare = levels.parts(at)
+            parts, least, spare = levels.plan(at)
             cuts = np.searchsorted(s, (np.arange(parts + 1, dtype=U) * U((1 << 64) // parts if parts > 1 else 0)), "left")
             cuts[-1] = len(s)
             body = prefix[cuts[1:]] - prefix[cuts[:-1]]
             sig = mix(body * U(0xD6E8FEB86659FD93) + mix(np.arange(parts, dtype=U) + U(at) * U(1 << 32) + U(1)))
-            full = cuts[1:] > cuts[:-1]
+            full = cuts[1:] - cuts[:-1] >= least
             out.append(sig[full] if np.count_nonzero(~full) <= spare else sig)
     return np.concatenate(out)
 
@@ -122,10 +157,10 @@ def linked(a: np.ndarray, b: np.ndarray, t: Fraction) -> bool:
 
 
 class Tree:
-    """Signature tree over sets in order of size: per node the OR of bitmaps, the size range, and the most tokens that share a bit."""
+    """Signature tree over sets in order of rough size and least token: per node the OR of bitmaps, the size range, and the most tokens that share a bit."""
 
     def __init__(self, sets: list[np.ndarray]) -> None:
-        order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), int(sets[i][0])))
+        order = sorted(range(len(sets)), key=lambda i: (int(math.log(len(sets[i])) * 10), int(sets[i][0])))
         self.sets = [sets[i] for i in order]
         self.order = np.array(order)
         bits = np.zeros((len(sets), BITS // 8), np.uint8)
@@ -162,38 +197,34 @@ def tree_links(left: Tree, right: Tree, t: Fraction, forest: Forest, shift: int)
         first = forest.root(int(tree.order[s]) + by)
         return first if all(forest.root(int(i) + by) == first for i in tree.order[s + 1 : e]) else -1
 
-    need = t / (1 + t)
+    need = float(t / (1 + t))
     stack = [(len(left.levels) - 1, 0, len(right.levels) - 1, 0)]
     while stack:
         la, a, lb, b = stack.pop()
         if la == 0 and lb == 0:
-            if same and a == b:
-                continue
             i, j = int(left.order[a]), int(right.order[b]) + shift
-            if forest.root(i) != forest.root(j) and linked(left.sets[a], right.sets[b], t):
+            if not (same and a == b) and forest.root(i) != forest.root(j) and linked(left.sets[a], right.sets[b], t):
                 forest.up[forest.root(j)] = forest.root(i)
                 yield i, j
             continue
         if (x := one(left, la, a, 0)) >= 0 and x == one(right, lb, b, shift):
             continue
-        if la >= lb:
-            A, B = left.levels[la - 1], right.levels[lb]
-            kids = np.arange(a * FANOUT, min((a + 1) * FANOUT, len(A[0])))
-            other, mine, k = b, A, kids
-        else:
-            A, B = right.levels[lb - 1], left.levels[la]
-            kids = np.arange(b * FANOUT, min((b + 1) * FANOUT, len(A[0])))
-            other, mine, k = a, A, kids
-        shared = np.bitwise_count(mine[0][k] & B[0][other]).sum(axis=1)
-        most = np.minimum(np.minimum(mine[2][k], B[2][other]), shared + np.minimum(mine[3][k], B[3][other]))
-        least = float(need) * (mine[1][k] + B[1][other])
-        fits = (most >= least - 1e-6) & (mine[2][k] * t.denominator >= t.numerator * B[1][other]) & (B[2][other] * t.denominator >= t.numerator * mine[1][k])
-        for c in k[fits].tolist():
-            if la >= lb:
-                if not (same and la - 1 == lb and c > b):
-                    stack.append((la - 1, c, lb, b))
-            elif not (same and lb - 1 == la and a > c):
-                stack.append((la, a, lb - 1, c))
+        ka, kb = np.array([a]), np.array([b])
+        down = max(la, lb)
+        if la == down:
+            la -= 1
+            ka = np.arange(a * FANOUT, min((a + 1) * FANOUT, len(left.levels[la][0])))
+        if lb == down:
+            lb -= 1
+            kb = np.arange(b * FANOUT, min((b + 1) * FANOUT, len(right.levels[lb][0])))
+        (bits_a, lo_a, hi_a, slack_a), (bits_b, lo_b, hi_b, slack_b) = ([f[ka][:, None] for f in left.levels[la][:4]], [f[kb][None] for f in right.levels[lb][:4]])
+        fits = (hi_a * t.denominator >= t.numerator * lo_b) & (hi_b * t.denominator >= t.numerator * lo_a)
+        if same and la == lb:
+            fits &= ka[:, None] <= kb[None]
+        if fits.any():
+            shared = np.bitwise_count(bits_a & bits_b).sum(axis=2)
+            fits &= np.minimum(np.minimum(hi_a, hi_b), shared + np.minimum(slack_a, slack_b)) >= need * (lo_a + lo_b) - 1e-6
+            stack += [(la, int(ka[i]), lb, int(kb[j])) for i, j in zip(*np.nonzero(fits), strict=True)]
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, threshold: float = 0.9) -> DataFrame:
@@ -271,12 +302,19 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: float = 0.9) -> D
     classes = settle(info.where("class_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"), F.count("*").alias("rows")), "classes")
     groups = components(met.where("size = -1").select(F.col("a").alias("u"), F.col("b").alias("v")))
     groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
-    blocks_of = (
+    ratio = math.log(max(float(1 / t), 1.01))
+    members = (
         groups.join(classes, F.col("node") == F.col("class_id")).where("rep is not null")
-        .withColumn("_r", F.row_number().over(Window.partitionBy("root").orderBy("size", "class_id")))
-        .select("root", "class_id", "rep", "size", F.floor((F.col("_r") - 1) / MEMBERS).cast("int").alias("blk"))
+        .select("root", "class_id", "rep", "size", F.floor(F.log("size") / ratio + 1e-9).alias("lvl"))
+        .withColumn("cell", F.concat_ws(":", "root", "lvl"))
     )
-    blocks_of = settle(blocks_of, "members")
+    members = settle(members, "members")
+    cells = members.groupBy("root", "lvl", "cell").agg(F.sum(F.col("size") + SET).alias("w"), F.count("*").alias("n_cell"))
+    whole = cells.groupBy("root").agg(F.sum("w").alias("w_root"))
+    cells = cells.join(whole, "root").select("cell", "n_cell", F.when(F.col("w_root") > BLOCK_WEIGHT, F.ceil(F.col("w") / BLOCK_WEIGHT)).otherwise(0).alias("n_blk"))
+    part = F.col("lvl") * (1 << 32) + F.pmod(F.xxhash64("class_id"), F.col("n_blk"))
+    blocks_of = join_unique(members, cells, "cell", "n_cell", ["n_blk"]).select("root", "class_id", "rep", "size", F.when(F.col("n_blk") > 0, part).otherwise(-1).alias("blk"))
+    blocks_of = settle(blocks_of, "blocks")
     spans = blocks_of.groupBy("root", "blk").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
     near = spans.alias("x").join(spans.alias("y"), F.expr(f"x.root = y.root AND x.blk <= y.blk AND x.hi * {t.denominator} >= {t.numerator} * y.lo")).select(F.col("x.root").alias("root"), F.col("x.blk").alias("i"), F.col("y.blk").alias("j"))
     wanted = near.select("root", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("blk"))
@@ -291,14 +329,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: float = 0.9) -> D
                 sets.setdefault(blk, {})[want] = s
         names = [c for b in sorted(sets) for c in sorted(sets[b])]
         trees = [Tree([sets[b][c] for c in sorted(sets[b])]) for b in sorted(sets)]
-        forest, out = Forest(len(names)), []
-        for tree, by in zip(trees, (0, len(trees[0].sets) if trees else 0), strict=False):
-            own = Forest(len(tree.sets))
-            for a, b in tree_links(tree, tree, t, own, 0):
-                out.append((a + by, b + by))
-                forest.up[forest.root(b + by)] = forest.root(a + by)
-        if len(trees) == 2:
-            out += tree_links(trees[0], trees[1], t, forest, len(trees[0].sets))
+        out = list(tree_links(trees[0], trees[-1], t, Forest(len(names)), len(names) - len(trees[-1].sets))) if trees else []
         return pa.table({"u": pa.array([names[a] for a, _ in out], pa.int64()), "v": pa.array([names[b] for _, b in out], pa.int64())})
 
     links = found.groupBy("root", "i", "j").applyInArrow(compare, "u long, v long")

@@ -3,6 +3,7 @@ import io
 import os
 import random
 import sys
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -76,12 +77,22 @@ def near_texts(n, seed):
 
 @pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
 def test_jaccard(spark, monkeypatch, n, percent):
-    monkeypatch.setattr(jaccard_join, "MEMBERS", 16)
+    monkeypatch.setattr(jaccard_join, "BLOCK_WEIGHT", 2000)
     rows = near_texts(200, n)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs_of(spark, rows), n, percent / 100).collect()}
     assert got == brute.jaccard(rows, n, percent)
 
 
+def test_jaccard_large_sets_keep_links_at_the_threshold():
+    rng = np.random.default_rng(4)
+    levels = jaccard_join.Levels(Fraction("0.8"))
+    for size in (300, 900, 4000):
+        for _ in range(40):
+            both, one, other = np.split(rng.integers(0, 1 << 63, size * 10 // 8, np.uint64) * np.uint64(2), [size, size * 9 // 8])
+            a, b = np.unique(np.concatenate([both, one])), np.unique(np.concatenate([both, other]))
+            assert len(np.intersect1d(jaccard_join.signatures(a, levels), jaccard_join.signatures(b, levels)))
+
+
 def test_jaccard_edges(spark):
     assert jaccard_join.jaccard_components(spark.createDataFrame([], DOCS)).count() == 0
     got = jaccard_join.jaccard_components(docs_of(spark, [(None, "a b c d"), (5, "a b c d"), (5, "a b c d"), (3, "a b c d"), (9, None)])).collect()
