@@ -7,7 +7,9 @@ is bounded whatever the length of a text. Nulls count as empty texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -136,3 +138,24 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
         x = np.minimum(x[:-have], x[have:])
         have *= 2
     return np.minimum(x[:n], x[w - have : w - have + n]) if have < w else x[:n]
+
+
+def release() -> None:
+    """Hands freed memory back to the system, as workers stay for later tasks (where the C library can do that)."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def releasing(f: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """``f`` for groups of rows, with release() after large ones."""
+
+    @functools.wraps(f)
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return f(table)
+        finally:
+            if table.nbytes > 1 << 20:
+                release()
+
+    return run

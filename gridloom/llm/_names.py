@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from ._bytes import U, text_bytes
+from ._bytes import U, release, releasing, text_bytes
 from ._shared import SharedDir
 
 #: Bytes of text in a block, but for one longer text.
@@ -55,8 +55,11 @@ def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK) -> Iterator[Bl
             if size >= limit:
                 yield Block(pa.concat_tables(held), f"{part}-{sub}")
                 held, size, sub = [], 0, sub + 1
+                release()
     if held:
         yield Block(pa.concat_tables(held), f"{part}-{sub}")
+        held.clear()
+        release()
 
 
 class Sorted:
@@ -106,6 +109,7 @@ def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(wide.reshape(-1).view(U), dtype=U) + U(start), docs[index]
 
 
+@releasing
 def _reduce(table: pa.Table) -> pa.Table:
     keys, bucket = table["block"].to_pylist(), table["bucket"][0].as_py()
     parts = sorted(zip(keys, (x.as_buffer() for x in table["payload"]), strict=True), key=lambda p: p[0])
@@ -137,6 +141,7 @@ def name_round(docs: DataFrame, emit: Callable[[Block], tuple[np.ndarray, np.nda
                     raw = _pack(mine.names[ends[b] : ends[b + 1]], ids[ends[b] : ends[b + 1]])
                     yield pa.record_batch({"bucket": pa.array([b], pa.int32()), "block": [block.key], "payload": pa.array(raw, pa.binary())})
 
+    @releasing
     def keep(table: pa.Table) -> pa.Table:
         key = table["block"][0].as_py()
         rows = sorted(zip(table["bucket"].to_pylist(), table["n"].to_pylist(), table["bits"].to_pylist(), strict=True))

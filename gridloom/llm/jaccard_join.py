@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import U, mix, text_bytes, word_hashes
+from ._bytes import U, mix, releasing, text_bytes, word_hashes
 from ._components import components
 from ._names import LAST_ID, blocks
 from ._shared import buckets_for, settle
@@ -273,6 +273,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: float = 0.9) -> D
                     raw = b"".join([np.array([parts[0].shape[1], len(parts[1]), ends[b + 1] - ends[b]], np.int64).tobytes(), parts[0].tobytes(), parts[1].tobytes(), sig[k].tobytes(), who[k].tobytes()])
                     yield pa.record_batch({"bucket": pa.array([b], pa.int32()), "payload": pa.array([raw], pa.binary())})
 
+    @releasing
     def meet(table: pa.Table) -> pa.Table:
         infos, pairs, sigs, whos = [], [], [], []
         for raw in table["payload"]:
@@ -321,6 +322,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: float = 0.9) -> D
     tiles = blocks_of.join(wanted, ["root", "blk"]).select("root", "i", "j", "blk", "class_id", "rep")
     found = tiles.join(slim, F.col("rep") == F.col("doc_id")).select("root", "i", "j", "blk", "class_id", "text")
 
+    @releasing
     def compare(table: pa.Table) -> pa.Table:
         sets: dict[int, dict[int, np.ndarray]] = {}
         texts = table["text"].combine_chunks()
