@@ -80,7 +80,9 @@ def text_scorer(weights: np.ndarray):  # noqa: ANN201
 
 def fit_text(docs: DataFrame, declared: Column, text: Column, rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages and their log trigram weights, from the ``rows`` labelled rows with the least hash of their text."""
-    sample = docs.select(declared.alias("lang"), text.cast("string").alias("text")).where("lang is not null and text is not null").orderBy(F.xxhash64("text"), "lang").limit(rows)
+    sample = docs.select(declared.alias("lang"), text.cast("string").alias("text")).where("lang is not null and text is not null").withColumn("h", F.xxhash64("text"))
+    last = sample.select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]  # hashes alone first: few texts travel to the sort
+    sample = sample.where(F.col("h") <= F.lit(last).cast("long")).orderBy("h", "lang").limit(rows).drop("h")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
