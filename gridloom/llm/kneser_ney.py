@@ -362,4 +362,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def op1_query(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score(docs, train(docs))
+    return score(docs, train(docs, 3))
