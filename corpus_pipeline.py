@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm._shared import settle
 from gridloom.llm.decontaminate import contamination
-from gridloom.llm.jaccard_join import jaccard_components
+from gridloom.llm.jaccard_join import jaccard_rows, numbered
 from gridloom.llm.language_id import identify
 from gridloom.llm.mixing import mix
 from gridloom.llm.suffix_dedup import repeated_spans
@@ -19,10 +19,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at 0.8 or more, the one with the smallest doc_id stays. Null doc_ids stay."""
-    found = jaccard_components(docs, 5, 0.8)
-    losers = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
+    """Of rows linked by five-word shingles at 0.8 or more, directly or by others, one stays: that of the smallest doc_id (null last), of several the first."""
+    losers = jaccard_rows(docs, 5, 0.8).where("row <> keeper").select(F.col("row").alias("_lost"))
+    return numbered(docs.select(F.struct(*docs.columns).alias("_doc"))).join(losers, F.col("row") == F.col("_lost"), "left_anti").select("_doc.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

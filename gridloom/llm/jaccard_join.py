@@ -227,6 +227,11 @@ def tree_links(left: Tree, right: Tree, t: Fraction, forest: Forest, shift: int)
             stack += [(la, int(ka[i]), lb, int(kb[j])) for i, j in zip(*np.nonzero(fits), strict=True)]
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``row``, a number for each row: the same again as long as the input has the same partitions (files and checkpoints do)."""
+    return docs.withColumn("row", F.monotonically_increasing_id())
+
+
 def jaccard_components(docs: DataFrame, n: int = 3, threshold: float = 0.9) -> DataFrame:
     """Links documents whose word n-gram sets have a Jaccard likeness of at least ``threshold``.
 
@@ -241,8 +246,16 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: float = 0.9) -> D
     rows and doc_ids are kept. Other columns are ignored. Elements and sets are
     compared by 64-bit hashes.
     """
+    return jaccard_rows(docs, n, threshold).drop("row", "keeper")
+
+
+def jaccard_rows(docs: DataFrame, n: int, threshold: float) -> DataFrame:
+    """jaccard_components with ``row`` (see numbered) and ``keeper``: of the component's rows the one of the smallest doc_id (null last), of several the first.
+
+    The input is read twice and needs the same partitions each time; a change raises an error.
+    """
     spark, t = docs.sparkSession, Fraction(str(threshold))
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    slim = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     n_buckets = buckets_for(spark, docs)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,10 +277,11 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: float = 0.9) -> D
             pairs = np.unique(np.stack([who[~new], chief[~new]], axis=1), axis=0) if (~new).any() else np.empty((0, 2), np.int64)
             sig, who = sig[new], who[new]
             ends = np.searchsorted((sig >> U(40)) * U(n_buckets) >> U(24), np.arange(n_buckets + 1, dtype=U), "left")
-            info = np.stack([np.where(block.ids == LAST_ID, np.iinfo(np.int64).min, block.ids), sizes, ids])
+            rows = block.table["row"].combine_chunks().to_numpy()
+            info = np.stack([np.where(block.ids == LAST_ID, np.iinfo(np.int64).min, block.ids), sizes, ids, rows])
             home = zlib.crc32(block.key.encode()) % n_buckets
             for b in range(n_buckets):
-                parts = [info if b == home else np.empty((3, 0), np.int64), pairs if b == home else np.empty((0, 2), np.int64)]
+                parts = [info if b == home else np.empty((4, 0), np.int64), pairs if b == home else np.empty((0, 2), np.int64)]
                 k = slice(ends[b], ends[b + 1])
                 if parts[0].size or parts[1].size or ends[b + 1] > ends[b]:
                     raw = b"".join([np.array([parts[0].shape[1], len(parts[1]), ends[b + 1] - ends[b]], np.int64).tobytes(), parts[0].tobytes(), parts[1].tobytes(), sig[k].tobytes(), who[k].tobytes()])
@@ -279,9 +293,9 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: float = 0.9) -> D
         for raw in table["payload"]:
             x = np.frombuffer(raw.as_buffer(), np.int64)
             a, b, c = x[:3].tolist()
-            infos.append(x[3 : 3 + 3 * a].reshape(3, a))
-            pairs.append(x[3 + 3 * a : 3 + 3 * a + 2 * b].reshape(b, 2))
-            sigs.append(x[(at := 3 + 3 * a + 2 * b) : at + c].view(U))
+            infos.append(x[3 : 3 + 4 * a].reshape(4, a))
+            pairs.append(x[3 + 4 * a : 3 + 4 * a + 2 * b].reshape(b, 2))
+            sigs.append(x[(at := 3 + 4 * a + 2 * b) : at + c].view(U))
             whos.append(x[at + c : at + 2 * c])
         sig, who, info = np.concatenate(sigs), np.concatenate(whos), np.concatenate(infos, axis=1)
         order = np.lexsort((who, sig))
@@ -296,16 +310,19 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: float = 0.9) -> D
             "size": pa.array(np.concatenate([info[1], np.full(k, -1, np.int64)])),
             "a": pa.array(np.concatenate([info[0], pair[:, 0]]), mask=np.concatenate([info[0] == np.iinfo(np.int64).min, np.zeros(k, bool)])),
             "b": pa.array(np.concatenate([info[2], pair[:, 1]])),
+            "row": pa.array(np.concatenate([info[3], np.full(k, -1, np.int64)])),
         })
 
-    met = settle(slim.mapInArrow(send, "bucket int, payload binary").groupBy("bucket").applyInArrow(meet, "size long, a long, b long"), "met")
-    info = met.where("size >= 0").select(F.col("a").alias("doc_id"), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("b")).alias("class_id"))
-    classes = settle(info.where("class_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"), F.count("*").alias("rows")), "classes")
+    met = settle(slim.mapInArrow(send, "bucket int, payload binary").groupBy("bucket").applyInArrow(meet, "size long, a long, b long, row long"), "met")
+    info = met.where("size >= 0").select(F.col("a").alias("doc_id"), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("b")).alias("class_id"), "row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")).alias("first")
+    classes = info.where("class_id is not null").groupBy("class_id").agg(first, F.max("n_shingles").alias("size"), F.count("*").alias("rows"))
+    classes = settle(classes.select("class_id", "first", F.col("first.row").alias("rep"), "size", "rows"), "classes")
     groups = components(met.where("size = -1").select(F.col("a").alias("u"), F.col("b").alias("v")))
     groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
     ratio = math.log(max(float(1 / t), 1.01))
     members = (
-        groups.join(classes, F.col("node") == F.col("class_id")).where("rep is not null")
+        groups.join(classes, F.col("node") == F.col("class_id"))
         .select("root", "class_id", "rep", "size", F.floor(F.log("size") / ratio + 1e-9).alias("lvl"))
         .withColumn("cell", F.concat_ws(":", "root", "lvl"))
     )
@@ -320,15 +337,16 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: float = 0.9) -> D
     near = spans.alias("x").join(spans.alias("y"), F.expr(f"x.root = y.root AND x.blk <= y.blk AND x.hi * {t.denominator} >= {t.numerator} * y.lo")).select(F.col("x.root").alias("root"), F.col("x.blk").alias("i"), F.col("y.blk").alias("j"))
     wanted = near.select("root", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("blk"))
     tiles = blocks_of.join(wanted, ["root", "blk"]).select("root", "i", "j", "blk", "class_id", "rep")
-    found = tiles.join(slim, F.col("rep") == F.col("doc_id")).select("root", "i", "j", "blk", "class_id", "text")
+    found = tiles.join(slim, F.col("rep") == F.col("row")).select("root", "i", "j", "blk", "class_id", "text")
 
     @releasing
     def compare(table: pa.Table) -> pa.Table:
         sets: dict[int, dict[int, np.ndarray]] = {}
         texts = table["text"].combine_chunks()
         for blk, want, s in zip(table["blk"].to_pylist(), table["class_id"].to_pylist(), shingle_sets(texts, n), strict=True):
-            if len(s) and class_id(s) == want:  # else another row with this doc_id
-                sets.setdefault(blk, {})[want] = s
+            if not len(s) or class_id(s) != want:
+                raise ValueError("the input's partitions changed between two reads")
+            sets.setdefault(blk, {})[want] = s
         names = [c for b in sorted(sets) for c in sorted(sets[b])]
         trees = [Tree([sets[b][c] for c in sorted(sets[b])]) for b in sorted(sets)]
         out = list(tree_links(trees[0], trees[-1], t, Forest(len(names)), len(names) - len(trees[-1].sets))) if trees else []
@@ -336,11 +354,11 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: float = 0.9) -> D
 
     links = found.groupBy("root", "i", "j").applyInArrow(compare, "u long, v long")
     roots = components(links)
-    labelled = classes.join(roots, F.col("class_id") == F.col("node"), "left").select("class_id", "rep", "rows", F.coalesce("root", "class_id").alias("top"))
-    least = labelled.groupBy("top").agg(F.min("rep").alias("component_id"), F.count("*").alias("k"))
-    classes = settle(join_unique(labelled, least, "top", "k", ["component_id"]).select("class_id", "rows", "component_id"), "labels")
-    out = join_unique(info, classes, "class_id", "rows", ["component_id"])
-    return out.select("doc_id", "n_shingles", "class_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    labelled = classes.join(roots, F.col("class_id") == F.col("node"), "left").select("class_id", "first", "rows", F.coalesce("root", "class_id").alias("top"))
+    least = labelled.groupBy("top").agg(F.min("first").alias("least"), F.count("*").alias("k"))
+    classes = settle(join_unique(labelled, least, "top", "k", ["least"]).select("class_id", "rows", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("keeper")), "labels")
+    out = join_unique(info, classes, "class_id", "rows", ["component_id", "keeper"])
+    return out.select("row", "doc_id", "n_shingles", "class_id", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("keeper", "row").alias("keeper"))
 
 
 def op9_query(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001

@@ -9,7 +9,8 @@ import pytest
 sys.path.insert(0, os.path.dirname(__file__))
 import brute
 
-from gridloom.llm import kneser_ney
+from gridloom.llm import jaccard_join, kneser_ney
+from gridloom.llm._shared import settle
 
 
 def stored(spark, rows, where):
@@ -24,3 +25,37 @@ def test_kneser_ney_query_is_of_order_three(spark, tmp_path):
     got = {x.doc_id: x.score for x in kneser_ney.op1_query(spark, stored(spark, rows, tmp_path)).collect()}
     want = {d: x[5] for d, x in brute.kneser_ney(rows, 3).items()}
     assert got == pytest.approx(want, abs=1e-6)
+
+
+WORDS = [f"w{i}" for i in range(60)]
+
+
+def changed(*places):
+    return " ".join("other" if i in places else w for i, w in enumerate(WORDS))
+
+
+def as_documents(spark, rows):
+    return settle(spark.createDataFrame([(d, t, "en", "h.example.org", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3), "t")
+
+
+def test_jaccard_null_id_is_compared(spark):
+    near = [(1, changed()), (None, changed(59))]
+    got = jaccard_join.jaccard_components(as_documents(spark, near), 3, 0.9).collect()
+    assert sorted((str(r.doc_id), r.component_id) for r in got) == [("1", 1), ("None", 1)]
+    ends = [(4, changed(0)), (7, changed(59))]
+    alone = jaccard_join.jaccard_components(as_documents(spark, ends), 3, 0.96).collect()
+    assert sorted((r.doc_id, r.component_id) for r in alone) == [(4, 4), (7, 7)]
+    bridge = jaccard_join.jaccard_components(as_documents(spark, [*ends, (None, changed())]), 3, 0.96).collect()
+    assert sorted((str(r.doc_id), r.component_id) for r in bridge) == [("4", 4), ("7", 4), ("None", 4)]
+    unknown = jaccard_join.jaccard_components(as_documents(spark, [(None, changed()), (None, changed(59))]), 3, 0.9).collect()
+    assert [r.component_id for r in unknown] == [None, None]
+
+
+def test_pipeline_drops_null_id_copies(spark):
+    import corpus_pipeline
+
+    rows = [(1, changed()), (None, changed()), (None, changed(59)), (None, "quite another text of six words"), (None, None)]
+    docs = as_documents(spark, rows)
+    left = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert left.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in left.collect()) == [("1", changed()), ("None", "None"), ("None", "quite another text of six words")]
