@@ -163,4 +163,4 @@ def neighbour_fingerprints(docs: DataFrame, k: int = 24, window: int = 100) -> D
 
 
 def op5_query(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001
-    return neighbour_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return neighbour_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"), 8, 8)

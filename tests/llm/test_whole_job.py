@@ -9,7 +9,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(__file__))
 import brute
 
-from gridloom.llm import jaccard_join, kneser_ney
+from gridloom.llm import jaccard_join, kneser_ney, winnow
 from gridloom.llm._shared import settle
 
 
@@ -59,3 +59,11 @@ def test_pipeline_drops_null_id_copies(spark):
     left = corpus_pipeline.near_duplicates(spark, docs, "")
     assert left.columns == docs.columns
     assert sorted((str(r.doc_id), str(r.text)) for r in left.collect()) == [("1", changed()), ("None", "None"), ("None", "quite another text of six words")]
+
+
+def test_winnow_query_meets_short_documents(spark, tmp_path):
+    """Of every text the first two thirds stay: 15 bytes or more of them are met, in short texts too."""
+    r = random.Random(3)
+    rows = [(i, "".join(r.choice("abcdefghij ") for _ in range(r.randint(23, 122)))) for i in range(120)]
+    got = winnow.op5_query(spark, stored(spark, rows, tmp_path)).collect()
+    assert len(got) == 120 and all(x.near_edited > 0 for x in got)
