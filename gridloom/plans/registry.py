@@ -109,6 +109,20 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(both.where("grp = 'view.seasconv.qa'"))
 
 
+# The SQL of the two above names the event type 'view'; these take all types.
+
+
+@query("seasconv_fill_all")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(temporal.seasconv_fill(C.densify(B.day_cube(spark, sf_dir)), 7))
+
+
+@query("seasconv_qa_all")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = temporal.seasconv_fill(C.densify(B.day_cube(spark, sf_dir)), 7, return_qa=True)
+    return rounded(both.where("endswith(grp, '.seasconv.qa')"))
+
+
 @query("gap_counts", f"""WITH c AS ({B.DAY}), p AS (SELECT grp, px, count(*) AS seen FROM c GROUP BY 1, 2), l AS (SELECT grp, count(DISTINCT start_date) AS n FROM c GROUP BY 1)
 SELECT grp, CAST(sum(n) AS BIGINT) AS cells, CAST(sum(n - seen) AS BIGINT) AS gaps, count(*) AS series FROM p JOIN l USING (grp) GROUP BY grp""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,6 +268,9 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 query("point_query", f"WITH c AS ({B.QUARTER}) SELECT s_suppkey AS pt_id, c.px, c.grp, c.start_date, c.end_date, round(value, 6) AS value FROM supplier JOIN c ON c.px = s_suppkey WHERE s_nationkey < 5")(
     lambda s, d: rounded(S.point_query(B.table(s, d, "supplier").where("s_nationkey < 5").select(F.col("s_suppkey").alias("pt_id"), F.col("s_suppkey").alias("px")), B.quarter_cube(s, d)).select("pt_id", "px", "grp", "start_date", "end_date", "value"))
 )
+query("point_query_all")(
+    lambda s, d: rounded(S.point_query(B.table(s, d, "supplier").select(F.col("s_suppkey").alias("pt_id"), F.col("s_suppkey").alias("px")), B.quarter_cube(s, d)).select("pt_id", "px", "grp", "start_date", "end_date", "value"))
+)
 query("block_overlay", _PT + "SELECT CAST(floor(row / 64.0) AS BIGINT) AS block_row, CAST(floor(col / 16.0) AS BIGINT) AS block_col, count(*) AS n FROM q GROUP BY 1, 2")(
     lambda s, d: _points_cells(s, d).select(*[c.alias(n) for c, n in zip(S.block_of(F.col("row"), F.col("col"), 64, 16), ("block_row", "block_col"), strict=True)]).groupBy("block_row", "block_col").agg(F.count("*").alias("n"))
 )
@@ -378,8 +395,9 @@ query("metadata_qc", "SELECT p_partkey, trim(p_name) <> '' AND trim(p_brand) <>
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import mapper
 
-    cols = [f"f{i}" for i in range(16)]
-    pts = B.table(spark, sf_dir, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)])
+    rows = B.table(spark, sf_dir, "embeddings")
+    cols = [f"f{i}" for i in range(rows.agg(F.max(F.size("embedding"))).first()[0] or 0)]
+    pts = rows.select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(cols)])
     model, _ = mapper.train(pts, "vec_id", "label", cols, n_folds=3)
     return rounded(model.predict(pts).select("vec_id", "class", "prob", "uncertainty"), "prob", "uncertainty", digits=4)
 
