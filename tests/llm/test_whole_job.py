@@ -67,3 +67,12 @@ def test_winnow_query_meets_short_documents(spark, tmp_path):
     rows = [(i, "".join(r.choice("abcdefghij ") for _ in range(r.randint(23, 122)))) for i in range(120)]
     got = winnow.op5_query(spark, stored(spark, rows, tmp_path)).collect()
     assert len(got) == 120 and all(x.near_edited > 0 for x in got)
+
+
+def test_pipeline_keeps_one_row_a_component(spark):
+    import corpus_pipeline
+
+    other = "quite another text of six words"
+    rows = [(1, changed()), (1, changed()), (1, changed(59)), (2, changed()), (2, other)]
+    left = sorted((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, as_documents(spark, rows), "").collect())
+    assert [d for d, _ in left] == [1, 2] and left[0][1] in (changed(), changed(59)) and left[1][1] == other
