@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .temporal import matrix, to_series
+
 SIMPLE = {
     "sum": lambda v: F.coalesce(F.sum(v), F.lit(0.0)), "mean": F.avg, "std": F.stddev_pop, "var": F.var_pop,
     "min": F.min, "max": F.max, "median": F.median, "count": F.count,
@@ -22,31 +27,125 @@ def op_column(op: str, value: Column, single: bool = False) -> Column:
         return SIMPLE[op](value)
     if op in ("argmin", "argmax"):
         return (F.min_by if op == "argmin" else F.max_by)(F.datediff("start_date", F.lit("1970-01-01")).cast("double"), value)
-    if m := re.fullmatch(r"p(\d{1,3})", op):
-        q = int(m[1])
+    if (q := percent_of(op)) is not None:
         exact = F.percentile(value, q / 100)
         return exact if single or q == 50 else F.when(F.count(value) > 1, exact)
     raise ValueError(f"unknown operation {op}")
 
 
+def percent_of(op: str) -> int | None:
+    m = re.fullmatch(r"p(\d{1,3})", op)
+    return int(m[1]) if m and int(m[1]) <= 100 else None
+
+
+def _kernel(op: str, single: bool) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """A function of rows sorted with NaN behind, rows in order of time, and days of the columns."""
+
+    def share(q: float, low: int):  # noqa: ANN202
+        def run(ranked: np.ndarray, rows: np.ndarray, days: np.ndarray) -> np.ndarray:
+            n = (~np.isnan(ranked)).sum(axis=1)
+            at = (np.maximum(n, 1) - 1) * q
+            a = np.floor(at).astype(int)
+            i = np.arange(len(ranked))
+            left, right = ranked[i, a], ranked[i, np.minimum(a + 1, np.maximum(n, 1) - 1)]
+            return np.where(n >= low, left + (right - left) * (at - a), np.nan)
+
+        return run
+
+    def moments(ranked: np.ndarray, rows: np.ndarray, days: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = (~np.isnan(rows)).sum(axis=1)
+        mean = np.where(n, np.nansum(rows, axis=1) / np.maximum(n, 1), np.nan)
+        dev = np.nan_to_num(rows - mean[:, None])
+        return n, mean, np.where(n, (dev * dev).sum(axis=1) / np.maximum(n, 1), np.nan)
+
+    def extreme(best):  # noqa: ANN001, ANN202
+        def run(ranked: np.ndarray, rows: np.ndarray, days: np.ndarray) -> np.ndarray:
+            none = np.isnan(rows).all(axis=1)
+            return np.where(none, np.nan, days[best(np.where(none[:, None], 0, rows), axis=1)])
+
+        return run
+
+    simple = {
+        "sum": lambda r, x, d: np.nansum(x, axis=1), "mean": lambda r, x, d: moments(r, x, d)[1], "var": lambda r, x, d: moments(r, x, d)[2], "std": lambda r, x, d: np.sqrt(moments(r, x, d)[2]),
+        "min": lambda r, x, d: r[:, 0], "max": lambda r, x, d: r[np.arange(len(r)), np.maximum((~np.isnan(r)).sum(axis=1), 1) - 1], "count": lambda r, x, d: (~np.isnan(x)).sum(axis=1).astype(float),
+        "median": share(0.5, 1), "argmin": extreme(np.nanargmin), "argmax": extreme(np.nanargmax),
+    }
+    if op in simple:
+        return simple[op]
+    if (q := percent_of(op)) is not None:
+        return share(q / 100, 1 if single or q == 50 else 2)
+    raise ValueError(f"unknown operation {op}")
+
+
 def time_aggregate(cube: DataFrame, windows: DataFrame, ops: list[str], overlap: bool = False, single: bool = False) -> DataFrame:
     """px, grp (with window and operation appended), start_date, end_date, value for every window that has layers.
 
-    Layers belong to a window that contains them (or overlaps them). Layers are
-    matched with windows first; both are small, and cells then join by equal dates.
+    Layers belong to a window that contains them (or overlaps them); windows of one
+    win_id pool theirs. A pixel's series meets all windows in one place: cells are
+    shuffled once, by pixel, whatever the number of windows and operations. NaN counts
+    as null. argmin and argmax give the day (since 1970) of the first such layer.
     """
-    layers = cube.select("start_date", "end_date").distinct()
-    inside = "end_date >= sel_start AND start_date <= sel_end" if overlap else "start_date >= sel_start AND end_date <= sel_end"
-    pairs = layers.join(F.broadcast(windows), F.expr(inside)).select("start_date", "end_date", "win_id", "tm", "out_start", "out_end")
-    rows = cube.join(F.broadcast(pairs), ["start_date", "end_date"])
-    value = F.when(~F.isnan("value"), F.col("value"))
-    wide = rows.groupBy("px", "grp", "win_id", "tm", "out_start", "out_end").agg(*[op_column(op, value, single).cast("double").alias(op) for op in ops])
-    long = wide.unpivot(["px", "grp", "tm", "out_start", "out_end"], ops, "op", "value")
-    name = F.concat_ws(".", "grp", F.nullif("tm", F.lit("")), "op")
-    return long.select("px", name.alias("grp"), F.col("out_start").alias("start_date"), F.col("out_end").alias("end_date"), "value")
+    rows_of: dict[tuple, list[tuple[int, int]]] = {}
+    names = [(o, _kernel(o, single)) for o in ops]
+    for w in windows.collect():  # a calendar, small whatever the cube
+        rows_of.setdefault((w.win_id, w.tm or "", w.out_start, w.out_end), []).append((_number(w.sel_start), _number(w.sel_end)))
+    series = to_series(cube).select("px", "grp", F.transform("ts.start_date", F.unix_date).alias("a"), F.transform("ts.end_date", F.unix_date).alias("b"), F.col("ts.value").alias("v"))
+    px = cube.schema["px"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, sizes = matrix(batch.column(4))
+            starts, ends = (matrix(batch.column(i))[0] for i in (2, 3))
+            kinds, kind = (np.zeros(1, int), np.zeros(len(x), int)) if _alike(starts, ends, sizes) else np.unique(np.concatenate([starts, ends], axis=1), axis=0, return_index=True, return_inverse=True)[1:]
+            picked, labels, spans, values = [], [], [], []
+            for i, first in enumerate(kinds.tolist()):
+                own = np.flatnonzero(kind.reshape(-1) == i)
+                a, b, part = starts[first], ends[first], x[own]
+                for (_, tm, out_start, out_end), sel in rows_of.items():
+                    inside = np.zeros(len(a), bool)
+                    for lo, hi in sel:
+                        inside |= (b >= lo) & (a <= hi) if overlap else (a >= lo) & (b <= hi)
+                    if not inside.any():
+                        continue
+                    cells = part[:, inside]
+                    ranked = np.sort(cells, axis=1)
+                    for op, kernel in names:
+                        with np.errstate(invalid="ignore"):
+                            values.append(kernel(ranked, cells, a[inside]))
+                        picked.append(own)
+                        labels.append((len(own), "." + tm + "." + op if tm else "." + op))
+                        spans.append((len(own), _number(out_start), _number(out_end)))
+            if not picked:
+                continue
+            at, value = pa.array(np.concatenate(picked)), np.concatenate(values)
+            suffix = pa.DictionaryArray.from_arrays(pa.array(np.repeat(np.arange(len(labels)), [n for n, _ in labels]), pa.int32()), [s for _, s in labels]).cast(pa.string())
+            days = [pa.array(np.repeat([s[i] for s in spans], [s[0] for s in spans]).astype(np.int32)).cast(pa.date32()) for i in (1, 2)]
+            yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), suffix, *days, pa.array(value, mask=np.isnan(value))], names=["px", "grp", "suffix", "start_date", "end_date", "value"])
+
+    out = series.mapInArrow(run, f"px {px}, grp string, suffix string, start_date date, end_date date, value double")
+    return out.select("px", F.concat("grp", "suffix").alias("grp"), "start_date", "end_date", "value")
+
+
+def _number(day) -> int:  # noqa: ANN001
+    return day.toordinal() - 719163
+
+
+def _alike(starts: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> bool:
+    """All series of a batch have the same layers."""
+    return bool((sizes == sizes[0]).all() and (starts == starts[:1]).all() and (ends == ends[:1]).all())
 
 
 def gap_counts(cube: DataFrame) -> DataFrame:
-    """Per group: cells, gaps and series of a dense cube, without series that have no value at all."""
+    """Per group: cells, gaps, series and the share of cells that are gaps (percent) of a dense cube, without series that have no value at all."""
     series = cube.groupBy("grp", "px").agg(F.count("*").alias("n"), F.count("value").alias("seen")).where("seen > 0")
     return series.groupBy("grp").agg(F.sum("n").alias("cells"), F.sum(F.col("n") - F.col("seen")).alias("gaps"), F.count("*").alias("series"))
+
+
+def filled(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Per group of a dense cube and what a filler made of it (groups with a suffix): gaps before, gaps after, percent filled (null without gaps)."""
+    a = gap_counts(before).select("grp", F.col("gaps").alias("gaps_before"))
+    b = gap_counts(after).select(F.regexp_replace("grp", r"\.[^.]*$", "").alias("grp"), F.col("gaps").alias("gaps_after"))
+    out = a.join(b, "grp", "left").fillna(0, ["gaps_after"])
+    return out.withColumn("percent", F.try_divide((F.col("gaps_before") - F.col("gaps_after")) * 100.0, F.col("gaps_before")))

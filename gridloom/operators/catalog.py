@@ -56,16 +56,40 @@ def rename_groups(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df
 
 
-def timespan(templates: DataFrame, spans: list[tuple[date, date]], fmt: str = "%Y%m%d", ignore_29feb: bool = True) -> DataFrame:
-    """Every path with {dt} once for each interval, {dt} filled with start_end; static ones stay, without dates."""
+def timespan(templates: DataFrame, spans: list[tuple[date, date]], fmt: str = "%Y%m%d", ignore_29feb: bool = True, style: str = "interval") -> DataFrame:
+    """Every path with {dt} once for each interval, {dt} filled by style: start_end (interval), start_date or end_date; static ones stay, without dates."""
     spark = templates.sparkSession
-    rows = [(a, b, f"{format_day(a, fmt, ignore_29feb)}_{format_day(b, fmt, ignore_29feb)}") for a, b in spans]
+    rows = []
+    for a, b in spans:
+        texts = {"start_date": format_day(a, fmt, ignore_29feb), "end_date": format_day(b, fmt, ignore_29feb)}
+        rows.append((a, b, texts.get(style, "_".join(texts.values()))))
     days = spark.createDataFrame(rows, "start_date date, end_date date, dt string")
     moving = templates.where("contains(path, '{dt}')").crossJoin(F.broadcast(days)).withColumn("path", F.replace("path", F.lit("{dt}"), F.col("dt"))).withColumn("temporal", F.lit(True)).drop("dt")
     still = templates.where("NOT contains(path, '{dt}')").select("*", F.lit(None).cast("date").alias("start_date"), F.lit(None).cast("date").alias("end_date"), F.lit(False).alias("temporal"))
     return with_name(moving.unionByName(still))
 
 
+#: Directives of date formats and what Spark calls them.
+DATE_PARTS = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%j": "DDD", "%y": "yy", "%%": "%"}
+
+
+def date_text(style: str, fmt: str, ignore_29feb: bool = True) -> Column:
+    """start_date and end_date as text, by style (see timespan); with %j and ignore_29feb, days after February of a leap year count as in a common year."""
+    parts = re.findall(r"%.|[^%]+", fmt)
+    if unknown := [p for p in parts if p.startswith("%") and p not in DATE_PARTS]:
+        raise ValueError(f"unknown directives: {unknown}")
+    pattern = "".join(DATE_PARTS.get(p) or "'" + p.replace("'", "''") + "'" for p in parts)
+
+    def text(c: str) -> Column:
+        day = F.col(c)
+        if ignore_29feb and "%j" in fmt:
+            leap = F.dayofyear(F.make_date(F.year(day), F.lit(12), F.lit(31))) == 366
+            day = F.when(leap & (F.month(day) > 2), F.date_sub(day, 1)).otherwise(day)
+        return F.date_format(day, pattern)
+
+    return text(style) if style in ("start_date", "end_date") else F.concat_ws("_", text("start_date"), text("end_date"))
+
+
 def with_name(df: DataFrame) -> DataFrame:
     """name: the path's last part without query string and extension."""
     base = F.substring_index(F.substring_index("path", "?", 1), "/", -1)
@@ -126,7 +150,18 @@ def densify(cube: DataFrame) -> DataFrame:
     """A row, with a null value, for every missing (px, layer) of each group."""
     px = cube.select("grp", "px").distinct()
     layers = cube.select("grp", "start_date", "end_date").distinct()
-    return px.join(F.broadcast(layers), "grp").join(cube, ["grp", "px", "start_date", "end_date"], "left")
+    return px.join(layers, "grp").join(cube, ["grp", "px", "start_date", "end_date"], "left")
+
+
+def href_merge(assets: DataFrame, files: DataFrame) -> DataFrame:
+    """Assets (href, band, date) with the files made of them (href, path) as layers of their band with one date; assets without a file go. Of repeated hrefs one stays."""
+    both = assets.dropDuplicates(["href"]).join(files, "href")
+    return with_name(both.select(F.col("band").alias("grp"), "path", F.lit(1).alias("band"), F.col("date").alias("start_date"), F.col("date").alias("end_date"), F.lit(True).alias("temporal")))
+
+
+def calibration_subset(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is among the ids."""
+    return df.join(ids.select(key).distinct(), key, "left_semi")
 
 
 def mask(cube: DataFrame, cells: DataFrame, keep: str = "mask <> 0") -> DataFrame:

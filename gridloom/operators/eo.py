@@ -54,4 +54,52 @@ def stac_items(layers: DataFrame) -> DataFrame:
 
 
 def collection_extent(items: DataFrame) -> DataFrame:
-    return items.groupBy("collection").agg(F.min("start_date").alias("first_date"), F.max("end_date").alias("last_date"), F.count("*").alias("n_items"))
+    """Per collection first and last date and number of items, and if items have a bbox (minx, miny, maxx, maxy) that of the first item (by date, then name)."""
+    box = [F.min_by(F.struct(*[F.col(c) for c in BOX]), F.struct("start_date", "item")).alias("bbox")] if all(c in items.columns for c in BOX) else []
+    return items.groupBy("collection").agg(F.min("start_date").alias("first_date"), F.max("end_date").alias("last_date"), F.count("*").alias("n_items"), *box)
+
+
+BOX = ("minx", "miny", "maxx", "maxy")
+
+
+def footprint(grids: DataFrame) -> DataFrame:
+    """Adds to grids (gt0, gt1, gt3, gt5, width, height) the bbox columns, and footprint: its ring as a GeoJSON polygon."""
+    right, low = F.col("gt0") + F.col("gt1") * F.col("width"), F.col("gt3") + F.col("gt5") * F.col("height")
+    out = grids.withColumns({"minx": F.col("gt0"), "miny": low, "maxx": right, "maxy": F.col("gt3")})
+    ring = F.array(*[F.array(F.col(x), F.col(y)) for x, y in (("minx", "miny"), ("minx", "maxy"), ("maxx", "maxy"), ("maxx", "miny"), ("minx", "miny"))])
+    return out.withColumn("footprint", F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))))
+
+
+def catalog_json(items: DataFrame, catalog: str, about: DataFrame | None = None) -> DataFrame:
+    """Documents of a catalog as JSON: path, json; one for each item and collection, and catalog.json.
+
+    Item columns beyond the known ones become its properties, without nulls; ``about``
+    (collection, title, ...) gives collections more fields.
+    """
+    known = ["collection", "item", "start_date", "end_date", "assets", *BOX]
+    more = [c for c in items.columns if c not in known]
+    when = [F.date_format("start_date", "yyyy-MM-dd'T'00:00:00'Z'").alias("start_datetime"), F.date_format("end_date", "yyyy-MM-dd'T'00:00:00'Z'").alias("end_datetime")]
+    box = [F.array(*[F.col(c) for c in BOX]).alias("bbox")] if all(c in items.columns for c in BOX) else []
+    links = F.array(F.struct(F.lit("collection").alias("rel"), F.concat(F.lit("../collection.json")).alias("href")))
+    body = F.struct(F.lit("Feature").alias("type"), F.lit("1.0.0").alias("stac_version"), F.col("item").alias("id"), "collection", *box, F.struct(*when, *more).alias("properties"), F.transform("assets", lambda h: F.struct(F.substring_index(h, "/", -1).alias("name"), h.alias("href"))).alias("assets"), links.alias("links"))
+    one = items.select(F.concat_ws("/", "collection", "item", F.concat("item", F.lit(".json"))).alias("path"), F.to_json(body).alias("json"))
+    spans = collection_extent(items)
+    spans = spans if about is None else spans.join(about, "collection", "left")
+    extra = [c for c in (about.columns if about is not None else []) if c != "collection"]
+    extent = F.struct(F.array(F.date_format("first_date", "yyyy-MM-dd"), F.date_format("last_date", "yyyy-MM-dd")).alias("temporal"), *([F.col("bbox").alias("spatial")] if "bbox" in spans.columns else []))
+    group = spans.select(F.concat(F.col("collection"), F.lit("/collection.json")).alias("path"), F.to_json(F.struct(F.lit("Collection").alias("type"), F.lit("1.0.0").alias("stac_version"), F.col("collection").alias("id"), extent.alias("extent"), "n_items", *extra)).alias("json"))
+    top = spans.agg(F.array_sort(F.collect_list("collection")).alias("c")).select(F.lit("catalog.json").alias("path"), F.to_json(F.struct(F.lit("Catalog").alias("type"), F.lit("1.0.0").alias("stac_version"), F.lit(catalog).alias("id"), F.transform("c", lambda x: F.struct(F.lit("child").alias("rel"), F.concat(x, F.lit("/collection.json")).alias("href"))).alias("links"))).alias("json"))
+    return one.unionByName(group).unionByName(top)
+
+
+def save_catalog(documents: DataFrame, folder: str) -> DataFrame:
+    """Writes documents (path, json) as files below a folder, each by the task that holds it, and returns their paths."""
+    from ..sources import files
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                files.write_whole(f"{folder}/{path}", text.encode())
+            yield batch.select(["path"])
+
+    return documents.select("path", "json").mapInArrow(run, "path string")

@@ -23,10 +23,10 @@ def sample_groups(points: DataFrame, cols: list[str] = (), resolution: float | N
 
 
 def label_encode(df: DataFrame, target: str) -> DataFrame:
-    """Adds ``code``: 0 to n - 1 over the sorted classes (a small table, joined by broadcast)."""
+    """Adds ``code``: 0 to n - 1 over the sorted classes."""
     classes = df.where(F.col(target).isNotNull()).select(target).distinct()
     codes = classes.withColumn("code", F.row_number().over(Window.orderBy(target)) - 1)
-    return df.join(F.broadcast(codes), target, "left")
+    return df.join(codes, target, "left")
 
 
 def impute(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -50,9 +50,29 @@ def class_report(df: DataFrame, true: str, pred: str) -> DataFrame:
     return out.select("label", "precision", "recall", f1.alias("f1"), "support")
 
 
+def report_averages(df: DataFrame, true: str, pred: str) -> DataFrame:
+    """Rows accuracy, macro avg and weighted avg of class_report: label, precision, recall, f1, support. The accuracy stands in all three columns."""
+    per = class_report(df, true, pred)
+    names = ("precision", "recall", "f1")
+    sums = per.agg(*[F.avg(c).alias(f"m_{c}") for c in names], *[F.try_divide(F.sum(F.col(c) * F.col("support")), F.sum("support")).alias(f"w_{c}") for c in names], F.sum("support").alias("support"))
+    rows = [("macro avg", "m"), ("weighted avg", "w")]
+    parts = [F.struct(F.lit("accuracy").alias("label"), *[F.col("w_recall").alias(c) for c in names])]  # all hits over all rows
+    parts += [F.struct(F.lit(label).alias("label"), *[F.col(f"{k}_{c}").alias(c) for c in names]) for label, k in rows]
+    return sums.select("support", F.explode(F.array(*parts)).alias("x")).select("x.label", *[F.col(f"x.{c}").alias(c) for c in names], "support")
+
+
+def class_log_loss(df: DataFrame, true: str, classes: list, probabilities: str) -> DataFrame:
+    """Per class, one against the rest: label, log_loss of its probability (an array in the order of ``classes``)."""
+    each = F.posexplode(F.array(*[F.lit(c) for c in classes]))
+    rows = df.select(F.col(true).alias("_true"), F.col(probabilities).alias("_p"), each.alias("_i", "label"))
+    p = F.greatest(F.least(F.get("_p", F.col("_i")), F.lit(1 - EPS)), F.lit(EPS))
+    return rows.groupBy("label").agg(F.avg(-F.log(F.when(F.col("_true") == F.col("label"), p).otherwise(1 - p))).alias("log_loss"))
+
+
 def regression_metrics(df: DataFrame, true: str, pred: str) -> DataFrame:
+    """r2 (null if the truth is constant) and rmse."""
     e = F.col(true) - F.col(pred)
-    return df.agg((1 - F.sum(e * e) / F.regr_syy(true, F.lit(1.0))).alias("r2"), F.sqrt(F.avg(e * e)).alias("rmse"))
+    return df.agg((1 - F.try_divide(F.sum(e * e), F.regr_syy(true, F.lit(1.0)))).alias("r2"), F.sqrt(F.avg(e * e)).alias("rmse"))
 
 
 def log_loss(df: DataFrame, p_true: str) -> DataFrame:
@@ -82,11 +102,11 @@ def optimal_threshold(curve: DataFrame, key: str) -> DataFrame:
 
 
 def correction_factor(df: DataFrame, hit: str, members: list[str]) -> DataFrame:
-    """Error of the mean prediction over the mean spread of the members: scales their spread to an uncertainty."""
+    """Error of the mean prediction over the mean spread of the members: scales their spread to an uncertainty. Null if the members always agree."""
     arr = F.array(*members)
     mean = F.aggregate(arr, F.lit(0.0), lambda a, x: a + x) / len(members)
     spread = F.sqrt(F.aggregate(F.transform(arr, lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda a, x: a + x) / len(members))
-    return df.agg((F.sqrt(F.avg((F.col(hit) - mean) ** 2)) / F.avg(spread)).alias("factor"))
+    return df.agg(F.try_divide(F.sqrt(F.avg((F.col(hit) - mean) ** 2)), F.avg(spread)).alias("factor"))
 
 
 def hard_class(probabilities: Column) -> tuple[Column, Column]:

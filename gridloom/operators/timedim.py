@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
+import calendar
 from collections.abc import Iterator
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: A calendar of more intervals is taken for a mistake.
 LIMIT = 365_000
 UNITS = ("days", "weeks", "months", "years")
+DAY = timedelta(days=1)
 
 
 def is_leap(year: int) -> bool:
-    return year % 4 == 0
+    """By the calendar's rule, so 1900 and 2100 are common years."""
+    return calendar.isleap(year)
 
 
 def steps_of(step: int | str | list[int]) -> list[int]:
     """A step, a list of steps or a comma-joined string of them, to be used in turn."""
     if isinstance(step, str):
-        step = [int(x) for x in step.split(",")]
-    return list(step) if isinstance(step, (list, tuple)) else [int(step)]
+        step = step.split(",")
+    return [int(x) for x in step] if isinstance(step, (list, tuple)) else [int(step)]
 
 
 def shift(day: date, unit: str, n: int) -> date:
@@ -29,51 +33,63 @@ def shift(day: date, unit: str, n: int) -> date:
         return day + timedelta(days=n * (7 if unit == "weeks" else 1))
     months = day.year * 12 + day.month - 1 + n * (12 if unit == "years" else 1)
     year, month = divmod(months, 12)
-    last = (date(year + (month == 11), (month + 1) % 12 + 1, 1) - timedelta(days=1)).day
-    return date(year, month + 1, min(day.day, last))
+    return date(year, month + 1, min(day.day, calendar.monthrange(year, month + 1)[1]))
 
 
 def _day(value: str | date, fmt: str) -> date:
     return datetime.strptime(value, fmt).date() if isinstance(value, str) else value
 
 
-def date_range(start: str | date, end: str | date, unit: str, step: int | str | list[int], offset: int = 0, ignore_29feb: bool = True, fmt: str = "%Y%m%d") -> list[tuple[date, date]]:
-    """Intervals that start up to ``end``; the last may reach beyond it.
+def date_range(start: str | date, end: str | date, unit: str, step: int | str | list[int], offset: int | str | list[int] = 0, ignore_29feb: bool = True, fmt: str = "%Y%m%d") -> list[tuple[date, date]]:
+    """Intervals that start up to ``end``; the last may reach beyond it. Steps and offsets (gaps behind an interval) are used in turn.
 
-    ignore_29feb: an interval of months that would end on 29 February ends on the
-    28th; one of days that crosses from February to March of a leap year, or from a
-    common year into a leap year, is a day longer, and starts move once a leap year.
+    ignore_29feb makes leap years look like others. Months: an interval that would end
+    on 29 February ends on the 28th. Days: one that begins by February and reaches
+    beyond it in a leap year is a day longer; the first start after February of a leap
+    year, also the very first, moves on by a day; and one that begins in a common year
+    and ends in a leap year is a day longer.
+
+    unit ``static`` gives one interval, from start to end. Steps below 1, negative
+    offsets and calendars of over LIMIT intervals raise a ValueError.
     """
-    first, last, steps = _day(start, fmt), _day(end, fmt), steps_of(step)
+    first, last = _day(start, fmt), _day(end, fmt)
+    if unit == "static":
+        return [(first, last)]
+    steps, gaps = steps_of(step), steps_of(offset or 0)
+    if min(steps) < 1 or min(gaps) < 0:
+        raise ValueError("steps are 1 or more and offsets 0 or more")
+    by_day = ignore_29feb and unit == "days"
     out: list[tuple[date, date]] = []
-    at, i, moved = first, 0, None
-    while at <= last and len(out) < LIMIT:
-        after = shift(at, unit, steps[i % len(steps)])
-        if ignore_29feb and unit == "days":
-            crosses = at.month <= 2 < after.month and at.year == after.year and is_leap(after.year)
-            enters = after.year > at.year and is_leap(after.year) and not is_leap(at.year)
-            over = after > date(after.year, 2, 28) and is_leap(after.year)
-            stop = after - timedelta(days=1)
-            nxt = after
-            if crosses or (enters and over):
-                stop, nxt = stop + timedelta(days=1), nxt + timedelta(days=1)
-                moved = after.year
-            elif enters:
-                stop = stop + timedelta(days=1)
-        else:
-            stop, nxt = after - timedelta(days=1), after
-            if ignore_29feb and unit == "months" and after.month == 3 and after.day == 1 and is_leap(after.year):
-                stop = date(after.year, 2, 28)
+    at, due = first, True
+    while at <= last:
+        if len(out) >= LIMIT:
+            raise ValueError(f"more than {LIMIT} intervals")
+        leap = is_leap(at.year)
+        if by_day and leap and due and at.month > 2:
+            at, due = at + DAY, False
+        elif not leap:
+            due = True
+        after = shift(at, unit, steps[len(out) % len(steps)])
+        stop = after - DAY
+        if by_day and ((leap and at.month <= 2 < after.month) or (not leap and is_leap(stop.year))):
+            stop += DAY
+        elif ignore_29feb and unit == "months" and (stop.month, stop.day) == (2, 29):
+            stop -= DAY
+        gap = gaps[len(out) % len(gaps)]
         out.append((at, stop))
-        at = shift(nxt, unit, offset) if offset else nxt
-        i += 1
+        at = shift(after, unit, gap) if gap else after
     return out
 
 
+def date_strings(spans: list[tuple[date, date]], fmt: str, ignore_29feb: bool = True) -> list[tuple[str, str]]:
+    """Intervals as text (see format_day)."""
+    return [(format_day(a, fmt, ignore_29feb), format_day(b, fmt, ignore_29feb)) for a, b in spans]
+
+
 def format_day(day: date, fmt: str, ignore_29feb: bool = True) -> str:
     """Text of a day; with %j and ignore_29feb, days after February of a leap year count as in a common year."""
     if ignore_29feb and "%j" in fmt and is_leap(day.year) and day.month > 2:
-        day -= timedelta(days=1)
+        day -= DAY
     return day.strftime(fmt)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -12,28 +13,40 @@ from pyspark.sql import functions as F
 from .temporal import from_series, lists, matrix, to_series
 
 
-def loess(y: np.ndarray, q: int, robust: np.ndarray | None = None, at: np.ndarray | None = None) -> np.ndarray:
-    """Local linear smoothing of rows at places ``at`` (default 0..n-1), window of q points, tricube weights times ``robust``."""
-    n = y.shape[1]
-    at = np.arange(n, dtype=float) if at is None else at
-    x = np.arange(n, dtype=float)
-    out = np.empty((y.shape[0], len(at)))
-    for k, p in enumerate(at):
+@functools.lru_cache(maxsize=256)
+def _weights(n: int, q: int, first: int, count: int) -> tuple[np.ndarray, ...]:
+    """Tricube weights (points x places) of the q points nearest to each of ``count`` places from ``first`` on; these times the distance, and its square."""
+    x, w, far = np.arange(n, dtype=float), np.zeros((n, count)), np.zeros((n, count))
+    for k in range(count):
+        p = first + k
         dist = np.abs(x - p)
         near = np.argsort(dist, kind="stable")[: min(q, n)]
         h = dist[near].max() + max(0, q - n) / 2
-        w = np.where(dist[near] <= 0.001 * h, 1.0, np.where(dist[near] >= 0.999 * h, 0.0, (1 - (dist[near] / max(h, 1e-12)) ** 3) ** 3))
-        ww = np.broadcast_to(w, (len(y), len(near))) * (1 if robust is None else robust[:, near])
-        total = ww.sum(axis=1)
-        safe = np.where(total > 0, total, 1)
-        ww = ww / safe[:, None]
-        xm = (ww * x[near]).sum(axis=1)
-        dev = x[near] - xm[:, None]
-        sxx = (ww * dev**2).sum(axis=1)
-        flat = np.sqrt(sxx) <= 0.001 * (n - 1)
-        slope = np.where(flat, 0, (ww * dev * y[:, near]).sum(axis=1) / np.where(flat, 1, sxx))
-        out[:, k] = np.where(total > 0, (ww * y[:, near]).sum(axis=1) + slope * (p - xm), y[:, min(max(int(round(p)), 0), n - 1)])
-    return out
+        w[near, k] = np.where(dist[near] <= 0.001 * h, 1.0, np.where(dist[near] >= 0.999 * h, 0.0, (1 - (dist[near] / max(h, 1e-12)) ** 3) ** 3))
+        far[:, k] = x - p
+    return w, w * far, w * far * far
+
+
+def loess(y: np.ndarray, q: int, robust: np.ndarray | None = None, first: int = 0, count: int | None = None) -> np.ndarray:
+    """Local linear smoothing of rows at ``count`` places from ``first`` on (default: all points), window of q points, tricube weights times ``robust``.
+
+    The weights depend on the place alone, so that all sums are products of matrices.
+    """
+    n = y.shape[1]
+    count = n if count is None else count
+    w, wx, wxx = _weights(n, q, first, count)
+    if robust is None:
+        s0, s1, s2, t0, t1 = w.sum(axis=0), wx.sum(axis=0), wxx.sum(axis=0), y @ w, y @ wx
+    else:
+        ry = robust * y
+        s0, s1, s2, t0, t1 = robust @ w, robust @ wx, robust @ wxx, ry @ w, ry @ wx
+    safe = np.where(s0 > 0, s0, 1)
+    xm, ym = s1 / safe, t0 / safe  # relative to the place
+    sxx = np.maximum(s2 / safe - xm * xm, 0)
+    flat = np.sqrt(sxx) <= 0.001 * (n - 1)
+    slope = np.where(flat, 0, (t1 / safe - xm * ym) / np.where(flat, 1, sxx))
+    own = np.clip(np.arange(first, first + count), 0, n - 1)
+    return np.where(s0 > 0, ym - slope * xm, y[:, own])
 
 
 def _average(x: np.ndarray, n: int) -> np.ndarray:
@@ -50,7 +63,7 @@ def stl(y: np.ndarray, period: int, seasonal: int, trend: int, robust: bool = Tr
             c = np.zeros((len(y), n + 2 * period))
             for k in range(period):
                 own = np.arange(k, n, period)
-                c[:, k : k + period * (len(own) + 2) : period] = loess((y - t)[:, own], seasonal, None if weight is None else weight[:, own], np.arange(-1, len(own) + 1, dtype=float))
+                c[:, k : k + period * (len(own) + 2) : period] = loess((y - t)[:, own], seasonal, None if weight is None else weight[:, own], -1, len(own) + 2)
             smooth = loess(_average(_average(_average(c, period), period), 3), low)
             s = c[:, period : period + n] - smooth
             t = loess(y - s, trend, weight)
@@ -83,7 +96,7 @@ def ols(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Per key: intercept (alpha) and slope (beta), each as value, standard error, t and p, r2 and n of a line y over x."""
     c = rows.groupBy(*keys).agg(F.regr_count(y, x).alias("n"), F.regr_slope(y, x).alias("b"), F.regr_intercept(y, x).alias("a"), F.regr_r2(y, x).alias("r2"), F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy"), F.regr_avgx(y, x).alias("mx"))
     c = c.withColumn("s2", F.when(F.col("n") > 2, F.greatest((F.col("syy") - F.col("b") * F.col("sxy")) / (F.col("n") - 2), F.lit(0.0))))
-    c = c.withColumn("sb", F.sqrt(F.col("s2") / F.col("sxx"))).withColumn("sa", F.sqrt(F.col("s2") * (1 / F.col("n") + F.col("mx") ** 2 / F.col("sxx"))))
+    c = c.withColumn("sb", F.sqrt(F.try_divide("s2", "sxx"))).withColumn("sa", F.sqrt(F.col("s2") * (1 / F.col("n") + F.try_divide(F.col("mx") ** 2, F.col("sxx")))))
     c = c.withColumn("ta", F.when(F.col("sa") > 0, F.col("a") / F.col("sa"))).withColumn("tb", F.when(F.col("sb") > 0, F.col("b") / F.col("sb")))
     dof = (F.col("n") - 2).cast("int")
     return c.select(*keys, F.col("n"), F.col("a").alias("alpha_m"), F.col("sa").alias("alpha_sd"), F.col("ta").alias("alpha_tv"), p_value(F.col("ta"), dof).alias("alpha_pv"), F.col("b").alias("beta_m"), F.col("sb").alias("beta_sd"), F.col("tb").alias("beta_tv"), p_value(F.col("tb"), dof).alias("beta_pv"), F.col("r2").alias("r2_m"))

@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 from ..operators import aggregate as A
 from ..operators import bandmath as BM
 from ..operators import catalog as C
-from ..operators import eo, search, temporal, timedim, trend
+from ..container import Cube
+from ..functions import rows
+from ..operators import eo, mapper, search, temporal, timedim, trend
 from ..operators import metrics as M
+from ..operators import runners as R
 from ..operators import spatial as S
-from ..sources import cube_io
+from ..sources import cube_io, files, rasters
+from ..sources.geotiff import Grid
 from ..streaming import windows as ST
 from . import bindings as B
 
@@ -44,15 +48,22 @@ def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
 
 
 def _windows_sql(kind: str, pad: int = 0) -> str:
-    rows = list(timedim.windows(FIRST, LAST, kind, pad))
-    days = ", ".join(f"({w}, '{tm}', DATE '{a}', DATE '{b}', DATE '{c}', DATE '{d}')" for w, tm, a, b, c, d in rows)
-    return f"(VALUES {days}) w(win_id, tm, sel_start, sel_end, out_start, out_end)"
+    """The windows by rules of their own: whole months, of which a 29 February is cut off the end, but for long-term ones."""
+    days = f"generate_series(TIMESTAMP '{FIRST}', TIMESTAMP '{LAST}', INTERVAL %d MONTH) g(d)"
+    if kind == "yearly":
+        return f"(SELECT CAST(year(d) AS INT) AS win_id, 'yearly' AS tm, CAST(d AS DATE) AS sel_start, make_date(year(d), 12, 31) AS sel_end, CAST(d AS DATE) AS out_start, make_date(year(d), 12, 31) AS out_end FROM {days % 12}) w"
+    months = {"monthly": 1, "bimonthly": 2, "quarterly": 3, "monthly_longterm": 1, "bimonthly_longterm": 2}[kind]
+    spans = f"(SELECT CAST(d AS DATE) AS a, CAST(d + INTERVAL {months} MONTH - INTERVAL 1 DAY AS DATE) AS e, (month(d) - 1) // {months} + 1 AS part FROM {days % months})"
+    if kind.endswith("longterm"):
+        return f"(SELECT part AS win_id, '{kind[0]}' || lpad(CAST(part AS VARCHAR), 2, '0') AS tm, a AS sel_start, e AS sel_end, DATE '{FIRST}' AS out_start, DATE '{LAST}' AS out_end FROM {spans}) w"
+    cut = "CASE WHEN month(e) = 2 AND day(e) = 29 THEN e - 1 ELSE e END"
+    return f"(SELECT row_number() OVER (ORDER BY a) AS win_id, '' AS tm, a - {pad} AS sel_start, {cut} + {pad} AS sel_end, a AS out_start, {cut} AS out_end FROM {spans}) w"
 
 
 _OPS = {
     "p25": "CASE WHEN count(value) > 1 THEN quantile_cont(value, 0.25) END", "p50": "quantile_cont(value, 0.5)", "p75": "CASE WHEN count(value) > 1 THEN quantile_cont(value, 0.75) END",
     "std": "stddev_pop(value)", "var": "var_pop(value)", "mean": "avg(value)", "sum": "coalesce(sum(value), 0)", "min": "min(value)", "max": "max(value)", "median": "median(value)", "count": "CAST(count(value) AS DOUBLE)",
-    "argmax": "CAST(arg_max(date_diff('day', DATE '1970-01-01', start_date), value) AS DOUBLE)",
+    "argmax": "CAST(arg_max(date_diff('day', DATE '1970-01-01', start_date), value ORDER BY start_date) AS DOUBLE)", "argmin": "CAST(arg_min(date_diff('day', DATE '1970-01-01', start_date), value ORDER BY start_date) AS DOUBLE)",
 }
 
 
@@ -79,48 +90,37 @@ _agg("agg_quarterly", B.month_cube, B.MONTH, "quarterly", ["mean", "min"])
 _agg("agg_monthly_longterm", B.month_cube, B.MONTH, "monthly_longterm", ["mean", "std"])
 _agg("agg_bimonthly_longterm", B.month_cube, B.MONTH, "bimonthly_longterm", ["p50"])
 _agg("agg_overlap", B.quarter_cube, B.QUARTER, "bimonthly", ["mean", "count"], overlap=True)
-_agg("agg_simple_ops", B.quarter_cube, B.QUARTER, "yearly", ["sum", "mean", "std", "var", "min", "max", "median", "argmax"])
+_agg("agg_simple_ops", B.quarter_cube, B.QUARTER, "yearly", ["sum", "mean", "std", "var", "min", "max", "median", "argmax", "argmin"])
 
 
 # --- per-pixel time series ------------------------------------------------------------
 
-_DENSE = f"""c AS ({B.DAY}), v AS (SELECT * FROM c WHERE grp = 'view'), l AS (SELECT DISTINCT start_date FROM v), t AS (SELECT start_date, row_number() OVER (ORDER BY start_date) - 1 AS t, count(*) OVER () AS n FROM l),
-d AS (SELECT p.px, t.t, t.n, t.start_date, v.value FROM (SELECT DISTINCT px FROM v) p CROSS JOIN t LEFT JOIN v ON v.px = p.px AND v.start_date = t.start_date)"""
-_WEIGHT = "pow(10, CASE WHEN {k} % 7 <= 3.5 THEN -(6 / 3.5) * ({k} % 7) ELSE (6 / 3.5) * ({k} % 7 - 3.5) - 6 END - 2.0 / n * {k})"
+def _dense(cube: str) -> str:
+    return f"""v AS ({cube}), l AS (SELECT DISTINCT grp, start_date FROM v), t AS (SELECT grp, start_date, row_number() OVER (PARTITION BY grp ORDER BY start_date) - 1 AS t, count(*) OVER (PARTITION BY grp) AS n FROM l),
+d AS (SELECT p.px, t.grp, t.t, t.n, t.start_date, v.value FROM (SELECT DISTINCT px, grp FROM v) p JOIN t ON t.grp = p.grp LEFT JOIN v ON v.px = p.px AND v.grp = p.grp AND v.start_date = t.start_date)"""
 
 
-def _views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.densify(B.day_cube(spark, sf_dir, "view"))
+_DENSE = _dense(B.DAY)
 
 
-@query("seasconv_fill", f"""WITH {_DENSE},
-f AS (SELECT a.px, a.t, sum({_WEIGHT.format(k="abs(a.t - b.t)").replace(" n ", " a.n ")} * b.value) / sum({_WEIGHT.format(k="abs(a.t - b.t)").replace(" n ", " a.n ")}) AS fill FROM d a JOIN d b ON a.px = b.px AND b.value IS NOT NULL GROUP BY 1, 2)
-SELECT d.px, 'view.seasconv' AS grp, d.start_date, d.start_date AS end_date, round(coalesce(d.value, f.fill), 6) AS value FROM d LEFT JOIN f ON f.px = d.px AND f.t = d.t""")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(temporal.seasconv_fill(_views(spark, sf_dir), 7))
-
+def _weight(season: float, n: str, k: str = "abs(a.t - b.t)") -> str:
+    half = season / 2
+    return f"pow(10, CASE WHEN {k} % {season} <= {half} THEN -(6 / {half}) * ({k} % {season}) ELSE (6 / {half}) * ({k} % {season} - {half}) - 6 END - 2.0 / {n} * {k})"
 
-@query("seasconv_qa", f"""WITH {_DENSE},
-w AS (SELECT a.px, a.t, sum({_WEIGHT.format(k="abs(a.t - b.t)").replace(" n ", " a.n ")}) AS s FROM d a JOIN d b ON a.px = b.px AND b.value IS NOT NULL GROUP BY 1, 2),
-m AS (SELECT max(s) AS s FROM (SELECT a.t, sum({_WEIGHT.format(k="abs(a.t - b.t)").replace(" n ", " a.n ")}) AS s FROM t a JOIN t b ON b.t >= 1 GROUP BY a.t))
-SELECT d.px, 'view.seasconv.qa' AS grp, d.start_date, d.start_date AS end_date, round(CASE WHEN d.value IS NOT NULL THEN 100.0 ELSE 100 * w.s / m.s END, 6) AS value FROM d CROSS JOIN m LEFT JOIN w ON w.px = d.px AND w.t = d.t""")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = temporal.seasconv_fill(_views(spark, sf_dir), 7, return_qa=True)
-    return rounded(both.where("grp = 'view.seasconv.qa'"))
 
-
-# The SQL of the two above names the event type 'view'; these take all types.
-
-
-@query("seasconv_fill_all")
+@query("seasconv_fill", f"""WITH {_DENSE},
+f AS (SELECT a.px, a.grp, a.t, sum({_weight(7, 'a.n')} * b.value) / sum({_weight(7, 'a.n')}) AS fill FROM d a JOIN d b ON a.px = b.px AND a.grp = b.grp AND b.value IS NOT NULL GROUP BY 1, 2, 3)
+SELECT d.px, d.grp || '.seasconv' AS grp, d.start_date, d.start_date AS end_date, round(coalesce(d.value, f.fill), 6) AS value FROM d LEFT JOIN f ON f.px = d.px AND f.grp = d.grp AND f.t = d.t""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(temporal.seasconv_fill(C.densify(B.day_cube(spark, sf_dir)), 7))
 
 
-@query("seasconv_qa_all")
+@query("seasconv_qa", f"""WITH {_DENSE},
+w AS (SELECT a.px, a.grp, a.t, sum({_weight(7, 'a.n')}) AS s FROM d a JOIN d b ON a.px = b.px AND a.grp = b.grp AND b.value IS NOT NULL GROUP BY 1, 2, 3),
+m AS (SELECT grp, max(s) AS s FROM (SELECT a.grp, a.t, sum({_weight(7, 'a.n')}) AS s FROM t a JOIN t b ON a.grp = b.grp AND b.t >= 1 GROUP BY 1, 2) GROUP BY 1)
+SELECT d.px, d.grp || '.seasconv.qa' AS grp, d.start_date, d.start_date AS end_date, round(CASE WHEN d.value IS NOT NULL THEN 100.0 ELSE 100 * w.s / m.s END, 6) AS value FROM d JOIN m USING (grp) LEFT JOIN w ON w.px = d.px AND w.grp = d.grp AND w.t = d.t""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = temporal.seasconv_fill(C.densify(B.day_cube(spark, sf_dir)), 7, return_qa=True)
-    return rounded(both.where("endswith(grp, '.seasconv.qa')"))
+    return rounded(temporal.seasconv_quality(C.densify(B.day_cube(spark, sf_dir)), 7))
 
 
 @query("gap_counts", f"""WITH c AS ({B.DAY}), p AS (SELECT grp, px, count(*) AS seen FROM c GROUP BY 1, 2), l AS (SELECT grp, count(DISTINCT start_date) AS n FROM c GROUP BY 1)
@@ -129,14 +129,20 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.gap_counts(C.densify(B.day_cube(spark, sf_dir)))
 
 
-def _whittaker_values(n: int) -> str:
-    h = temporal.whittaker_matrix(n, 1.0, 2)
-    return ", ".join(f"({i}, {j}, {h[i, j]!r}::DOUBLE)".replace("np.float64(", "").replace(")::", "::") for i in range(n) for j in range(n))
+def _smooth_sql(source: str, keys: str) -> str:
+    """CTEs s and z: series (keys, ys, n) of ``source`` (keys, t, value) smoothed by solving (I + D'D) z = y for second differences D.
+
+    Steps z + (y - A z) / 9 come nearer by 8 / 9 each, as A has eigenvalues from 1 to 17.
+    """
+    bend = "list_transform(range(1, n - 1), lambda i: z[i] - 2 * z[i + 1] + z[i + 2])"
+    back = "(CASE WHEN i <= n - 2 THEN e[i] ELSE 0 END - 2 * CASE WHEN i > 1 AND i <= n - 1 THEN e[i - 1] ELSE 0 END + CASE WHEN i > 2 THEN e[i - 2] ELSE 0 END)"
+    return f"""s AS (SELECT {keys}, list(value ORDER BY t) AS ys, count(*) AS n FROM {source} GROUP BY {keys}),
+    r AS (SELECT {keys}, ys, n, ys AS z, 0 AS k FROM s UNION ALL SELECT {keys}, ys, n, list_transform(range(1, n + 1), lambda i: z[i] + (ys[i] - z[i] - {back}) / 9), k + 1 FROM (SELECT *, {bend} AS e FROM r WHERE k < 270) u),
+    z AS (SELECT {keys}, n, unnest(z) AS value, generate_subscripts(z, 1) - 1 AS t FROM r WHERE k = 270)"""
 
 
-@query("whittaker", f"""WITH c AS ({B.QUARTER}), t AS (SELECT start_date, row_number() OVER (ORDER BY start_date) - 1 AS t FROM (SELECT DISTINCT start_date FROM c)),
-d AS (SELECT c.*, t.t, count(*) OVER (PARTITION BY px) AS n FROM c JOIN t USING (start_date)), h(i, j, h) AS (VALUES {_whittaker_values(28)})
-SELECT a.px, 'qty.whittaker' AS grp, a.start_date, a.end_date, round(sum(h.h * b.value), 6) AS value FROM d a JOIN d b ON a.px = b.px JOIN h ON h.i = a.t AND h.j = b.t WHERE a.n = 28 GROUP BY 1, 2, 3, 4""")
+@query("whittaker", f"""WITH RECURSIVE c AS ({B.QUARTER}), d AS (SELECT *, row_number() OVER (PARTITION BY px ORDER BY start_date) - 1 AS t FROM c), {_smooth_sql('d', 'px')}
+SELECT d.px, 'qty.whittaker' AS grp, d.start_date, d.end_date, round(z.value, 6) AS value FROM d JOIN z ON z.px = d.px AND z.t = d.t""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(temporal.whittaker(B.quarter_cube(spark, sf_dir)))
 
@@ -178,6 +184,17 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(BM.calc(B.month_cube(spark, sf_dir), ["A", "N", "R"], {"m": "sqrt(A ** 2 + R ** 2)", "k": "where((m > 40) & (N > 20), log(m), 0 - m)"}))
 
 
+@query("calc_zero", f"WITH {_WIDE} " + _long_sql({"A": "a", "N": "n", "R": "r", "z": "CASE WHEN a - a <> 0 THEN (n - a) / (a - a) END", "q": "CASE WHEN floor(r / 30) <> 0 THEN n / floor(r / 30) END"}))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(BM.calc(B.month_cube(spark, sf_dir), ["A", "N", "R"], {"z": "(N - A) / (A - A)", "q": "N / floor(R / 30)"}))
+
+
+@query("calc_nested", f"WITH {_WIDE} " + _long_sql({"A": "a", "N": "n", "R": "r", "p": "pow((a + n) * 2, 2)", "t": "pow(a / 25, pow(2, 3))", "u": "pow(sqrt(abs(a - n)), 2)", "w": "pow(CASE WHEN a > n THEN a ELSE r END, 2)", "x": "CASE WHEN (a > 25) <> (n > 25) THEN 1 WHEN a IS NULL OR n IS NULL THEN NULL ELSE -(a % 7) END"}))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    expressions = {"p": "((A + N) * 2) ** 2", "t": "(A / 25) ** 2 ** 3", "u": "sqrt(abs(A - N)) ** 2", "w": "where(A > N, A, R) ** 2", "x": "where(A + N > -1, where((A > 25) ^ (N > 25), 1, -(A % 7)), A + N)"}
+    return rounded(BM.calc(B.month_cube(spark, sf_dir), ["A", "N", "R"], expressions))
+
+
 @query("calc_mask", f"WITH {_WIDE}, h AS (SELECT *, coalesce(floor(r / 10) IN (2, 3), false) AS hid FROM p) " + _long_sql({"A": "CASE WHEN NOT hid THEN a END", "N": "CASE WHEN NOT hid THEN n END", "flag": "floor(r / 10)", "s": "CASE WHEN NOT hid THEN a + n END"}, "h"))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     cube = B.month_cube(spark, sf_dir).replace({"R": "flag"}, subset=["grp"]).withColumn("value", F.when(F.col("grp") == "flag", F.floor(F.col("value") / 10)).otherwise(F.col("value")))
@@ -215,10 +232,12 @@ query("union_distinct", _CAT + "SELECT DISTINCT grp, year(start_date) AS y FROM
 
 
 _SPANS = timedim.date_range("20141202", "20161201", "days", [109, 96, 80, 80])
+#: The same, by hand.
+_SPANS_SQL = ", ".join(f"(DATE '{y - 1}-12-02', DATE '{y}-03-20'), (DATE '{y}-03-21', DATE '{y}-06-24'), (DATE '{y}-06-25', DATE '{y}-09-12'), (DATE '{y}-09-13', DATE '{y}-12-01')" for y in (2015, 2016))
 
 
 @query("timespan", "WITH t(grp, path) AS (SELECT n_name, 'd/' || n_name || '_{dt}.tif' FROM nation UNION ALL SELECT r_name, 's/' || r_name || '.tif' FROM region), i(a, b) AS (VALUES "
-       + ", ".join(f"(DATE '{a}', DATE '{b}')" for a, b in _SPANS)
+       + _SPANS_SQL
        + ") SELECT grp, replace(path, '{dt}', strftime(a, '%Y%m%d') || '_' || strftime(b, '%Y%m%d')) AS path, a AS start_date, b AS end_date, true AS temporal, regexp_replace(split_part(replace(path, '{dt}', strftime(a, '%Y%m%d') || '_' || strftime(b, '%Y%m%d')), '/', 2), '\\.[^.]*$', '') AS name FROM t, i WHERE contains(path, '{dt}')"
        " UNION ALL SELECT grp, path, NULL, NULL, false, regexp_replace(split_part(path, '/', 2), '\\.[^.]*$', '') FROM t WHERE NOT contains(path, '{dt}')")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,8 +246,14 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.timespan(moving.unionByName(still), _SPANS)
 
 
-_R16 = timedim.date_range("2016001", "2019001", "days", "16," * 22 + "13", fmt="%Y%j")
-query("date_range_16d", "SELECT * FROM (VALUES " + ", ".join(f"({i}, DATE '{a}', DATE '{b}')" for i, (a, b) in enumerate(_R16)) + ") v(i, start_date, end_date)")(lambda s, d: timedim.intervals_df(s, _R16))
+_R16 = timedim.date_range("2013001", "2019001", "days", "16," * 22 + "13", fmt="%Y%j")
+# A year has 23 intervals; those behind February begin, and those that reach behind it end, a day later in a leap year.
+query("date_range_16d", """WITH y AS (SELECT y, i, make_date(y, 1, 1) AS d, y % 4 = 0 AS leap, 16 * i AS s, 16 * (i + 1) - CASE WHEN i = 22 THEN 3 ELSE 0 END AS e FROM range(2013, 2020) a(y), range(23) b(i) WHERE y < 2019 OR i = 0)
+SELECT CAST(row_number() OVER (ORDER BY y, i) - 1 AS INT) AS i, d + CAST(s + CASE WHEN leap AND s >= 59 THEN 1 ELSE 0 END AS INT) AS start_date, d + CAST(e - 1 + CASE WHEN leap AND e > 59 THEN 1 ELSE 0 END AS INT) AS end_date FROM y""")(lambda s, d: timedim.intervals_df(s, _R16))
+query("date_strings", "SELECT CAST(y AS INT) AS y, string_agg(a || '-' || b, ',' ORDER BY a) AS days FROM (SELECT y, i, lpad(CAST(16 * i + 1 AS VARCHAR), 3, '0') AS a, CASE WHEN i = 22 THEN '365' ELSE lpad(CAST(16 * i + 16 AS VARCHAR), 3, '0') END AS b FROM range(2013, 2019) a(y), range(23) b(i)) GROUP BY y")(
+    lambda s, d: s.createDataFrame([(int(a[:4]), a[4:], b[4:]) for a, b in timedim.date_strings(_R16[:-1], "%Y%j")], "y int, a string, b string").groupBy("y").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("-", "a", "b"))), ",").alias("days"))
+)
+query("date_range_static", "SELECT 0 AS i, DATE '2015-03-01' AS start_date, DATE '2016-02-29' AS end_date")(lambda s, d: timedim.intervals_df(s, timedim.date_range("20150301", "20160229", "static", 1)))
 query("template_names", _CAT + "SELECT 'grid_x_' || grp || '_' || strftime(start_date, '%Y%m%d') AS out FROM k")(
     lambda s, d: _catalog(s, d).select(C.fill_template(F.lit("grid_{nm}_{gr}_{dt}"), nm=F.lit("x"), gr=F.col("grp"), dt=F.date_format("start_date", "yyyyMMdd")).alias("out"))
 )
@@ -260,15 +285,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     years = spark.range(1995, 2002).select(F.col("id").cast("int").alias("year"))
     cells = B.raster(spark, sf_dir).crossJoin(F.broadcast(years)).select("row", "col", "year", F.lit("t").alias("layer"), (F.col("value") * F.col("year")).alias("value"))
     pts = _points_cells(spark, sf_dir).select("pt_id", "row", "col", F.year("date").alias("year"))
-    out = S.spacetime_overlay(pts, cells, {"t": 0})
-    prior = cells.select("row", "col", (F.col("year") + 1).alias("year"), F.col("value").alias("t_m1"))
-    return rounded(out.join(prior, ["row", "col", "year"], "left").select("pt_id", "row", "col", "year", "t", "t_m1"), "t", "t_m1")
+    both = S.spacetime_overlay(pts, cells, {"t": (0, -1)})
+    return rounded(both.select("pt_id", "row", "col", "year", "t", "t_m1"), "t", "t_m1")
 
 
-query("point_query", f"WITH c AS ({B.QUARTER}) SELECT s_suppkey AS pt_id, c.px, c.grp, c.start_date, c.end_date, round(value, 6) AS value FROM supplier JOIN c ON c.px = s_suppkey WHERE s_nationkey < 5")(
-    lambda s, d: rounded(S.point_query(B.table(s, d, "supplier").where("s_nationkey < 5").select(F.col("s_suppkey").alias("pt_id"), F.col("s_suppkey").alias("px")), B.quarter_cube(s, d)).select("pt_id", "px", "grp", "start_date", "end_date", "value"))
-)
-query("point_query_all")(
+query("point_query", f"WITH c AS ({B.QUARTER}) SELECT s_suppkey AS pt_id, c.px, c.grp, c.start_date, c.end_date, round(value, 6) AS value FROM supplier JOIN c ON c.px = s_suppkey")(
     lambda s, d: rounded(S.point_query(B.table(s, d, "supplier").select(F.col("s_suppkey").alias("pt_id"), F.col("s_suppkey").alias("px")), B.quarter_cube(s, d)).select("pt_id", "px", "grp", "start_date", "end_date", "value"))
 )
 query("block_overlay", _PT + "SELECT CAST(floor(row / 64.0) AS BIGINT) AS block_row, CAST(floor(col / 16.0) AS BIGINT) AS block_col, count(*) AS n FROM q GROUP BY 1, 2")(
@@ -299,7 +320,7 @@ query("land_coverage", f"WITH r AS ({B.RASTER}) SELECT round(count(*) FILTER (va
 query("overview", f"WITH r AS ({B.RASTER}) SELECT 'v' AS layer, CAST(floor(row / 4.0) AS BIGINT) AS orow, CAST(floor(col / 4.0) AS BIGINT) AS ocol, round(value, 6) AS value FROM r WHERE row % 4 = 0 AND col % 4 = 0")(
     lambda s, d: rounded(S.overview(B.raster(s, d).select(F.lit("v").alias("layer"), "row", "col", "value"), 4).select("layer", "orow", "ocol", "value"))
 )
-query("regrid", f"WITH r AS ({B.RASTER}) SELECT 'v' AS layer, CAST(floor((row + 0.5) / 2) AS BIGINT) AS row, CAST(floor((col + 0.5) / 2) AS BIGINT) AS col, round(min(value), 6) AS value FROM r GROUP BY 2, 3")(
+query("regrid", f"WITH r AS ({B.RASTER}) SELECT 'v' AS layer, row // 2 AS row, col // 2 AS col, round(value, 6) AS value FROM r WHERE row % 2 = 1 AND col % 2 = 1")(
     lambda s, d: rounded(S.regrid(B.raster(s, d).select(F.lit("v").alias("layer"), "row", "col", "value"), 2.0))
 )
 query("mask_layer", f"WITH c AS ({B.QUARTER}) SELECT c.px, c.grp, start_date, end_date, CASE WHEN s_acctbal > 0 THEN round(value, 6) END AS value FROM c LEFT JOIN supplier ON s_suppkey = px")(
@@ -393,8 +414,6 @@ query("metadata_qc", "SELECT p_partkey, trim(p_name) <> '' AND trim(p_brand) <>
 
 @query("stacking")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators import mapper
-
     rows = B.table(spark, sf_dir, "embeddings")
     cols = [f"f{i}" for i in range(rows.agg(F.max(F.size("embedding"))).first()[0] or 0)]
     pts = rows.select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(cols)])
@@ -407,20 +426,152 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ST.tumbling(B.table(spark, sf_dir, "events")), "total", digits=4)
 
 
-@query("stream_tumbling")
+@query("stream_tumbling", SQL["window_tumbling"])
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     static = B.table(spark, sf_dir, "events")
     stream = spark.readStream.schema(static.schema).format("parquet").option("pathGlobFilter", "*.parquet").load(f"{sf_dir}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    return rounded(ST.run_to_end(ST.tumbling(stream), "stream_tumbling"), "total", digits=4)
+    return rounded(ST.run_to_end(ST.tumbling(stream), ["start", "stop", "event_type"], files.shared_folder(spark, "stream")), "total", digits=4)
+
+
+# --- further catalog and table operators ------------------------------------------------------
+
+query("filter_single_date", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_orderdate >= DATE '1998-03-01'")(
+    lambda s, d: C.filter_date(B.table(s, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("date")), date(1998, 3, 1), date(1998, 4, 1))
+)
+query("in_bounds", f"SELECT pt_id FROM ({B.POINTS}) WHERE x >= 10.5 AND x <= 20.5 AND y >= 100.5 AND y <= 300.5")(
+    lambda s, d: B.points(s, d).where(S.in_bounds(F.col("x"), F.col("y"), 10.5, 100.5, 20.5, 300.5)).select("pt_id")
+)
+query("select_features", "SELECT p_size, p_retailprice, p_partkey FROM part")(lambda s, d: C.select_features(B.table(s, d, "part"), prefixes=["p_s", "p_r", "p_partk"]))
+query("require_features", "SELECT p_retailprice, p_size FROM part")(lambda s, d: C.require_features(B.table(s, d, "part"), ["p_retailprice", "p_size"], allow_more=True))
+query("calibration_subset", "SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")(
+    lambda s, d: C.calibration_subset(B.table(s, d, "supplier"), B.table(s, d, "nation").where("n_regionkey = 1").withColumnRenamed("n_nationkey", "s_nationkey"), "s_nationkey").select("s_suppkey")
+)
+_COMMON = "CAST(dayofyear({d}) - CASE WHEN year({d}) % 4 = 0 AND month({d}) > 2 THEN 1 ELSE 0 END AS INT)"
+query("day_of_year_names", _CAT + f"SELECT grp || '-' || year(start_date) || lpad(CAST({_COMMON.format(d='start_date')} AS VARCHAR), 3, '0') || '_' || year(end_date) || lpad(CAST({_COMMON.format(d='end_date')} AS VARCHAR), 3, '0') AS out FROM k")(
+    lambda s, d: _catalog(s, d).select(F.concat_ws("-", "grp", C.date_text("interval", "%Y%j")).alias("out"))
+)
+query("href_merge", _CAT + "SELECT grp, 'v/' || name || '.vrt' AS path, 1 AS band, start_date, start_date AS end_date, true AS temporal, name FROM k WHERE year(start_date) <> 1999")(
+    lambda s, d: (lambda k: C.href_merge(k.unionByName(k).select(F.col("path").alias("href"), F.col("grp").alias("band"), F.col("start_date").alias("date")), k.where("year(start_date) <> 1999").select(F.col("path").alias("href"), F.concat(F.lit("v/"), "name", F.lit(".vrt")).alias("path"))))(_catalog(s, d))
+)
+
+
+@query("write_groups", f"WITH c AS ({B.QUARTER_FLAG}) SELECT px, grp, start_date, end_date, CASE WHEN px <> 3 THEN round(value, 6) END AS value FROM c WHERE grp <> 'N'")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = files.shared_folder(spark, "groups")
+    cube = B.quarter_cube(spark, sf_dir, "l_returnflag")
+    cube_io.write_cube(cube.withColumn("value", F.when(F.col("px") == 3, -9.0).otherwise(F.col("value"))), folder, "grp <> 'N'")
+    return rounded(cube_io.read_cube(spark, folder, nodata=-9.0).select("px", "grp", "start_date", "end_date", "value"))
+
+
+query("report_averages", f"""WITH p AS ({_PRED}), l AS (SELECT DISTINCT label FROM p), c AS (SELECT l.label, count(*) FILTER (p.label = l.label) AS support, count(*) FILTER (p.label = l.label AND p.pred = l.label) / count(*) FILTER (p.pred = l.label) AS pr, count(*) FILTER (p.label = l.label AND p.pred = l.label) / count(*) FILTER (p.label = l.label) AS re FROM l, p GROUP BY 1),
+f AS (SELECT *, 2 * pr * re / (pr + re) AS f1 FROM c), a AS (SELECT round(count(*) FILTER (label = pred) / count(*), 6) AS v, count(*) AS n FROM p)
+SELECT 'accuracy' AS label, v AS precision, v AS recall, v AS f1, n AS support FROM a
+UNION ALL SELECT 'macro avg', round(avg(pr), 6), round(avg(re), 6), round(avg(f1), 6), CAST(sum(support) AS BIGINT) FROM f
+UNION ALL SELECT 'weighted avg', round(sum(pr * support) / sum(support), 6), round(sum(re * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM f""")(lambda s, d: rounded(M.report_averages(_predictions(s, d), "label", "pred"), "precision", "recall", "f1"))
+query("class_log_loss", f"WITH p AS ({_PRED}), c AS (SELECT CAST(i AS INT) AS label, vec_id, p.label = i AS hit, greatest(least(CASE WHEN i % 2 = 0 THEN score ELSE 1 - score END, 1 - 1e-15), 1e-15) AS q FROM p, range(10) r(i)) SELECT label, round(avg(-ln(CASE WHEN hit THEN q ELSE 1 - q END)), 6) AS log_loss FROM c GROUP BY label")(
+    lambda s, d: rounded(M.class_log_loss(_predictions(s, d).withColumn("p", F.array(*[F.col("score") if i % 2 == 0 else 1 - F.col("score") for i in range(10)])), "label", list(range(10)), "p"), "log_loss")
+)
+query("balanced_weights", "SELECT c_custkey, round((SELECT count(*) FROM customer) / ((SELECT count(DISTINCT c_mktsegment) FROM customer) * CAST(count(*) OVER (PARTITION BY c_mktsegment) AS DOUBLE)), 6) AS weight FROM customer")(
+    lambda s, d: rounded(mapper.balanced_weights(B.table(s, d, "customer"), "c_mktsegment").select("c_custkey", "weight"), "weight")
+)
+query("contiguous_folds", "WITH o AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS i, count(*) OVER () AS n FROM customer), z AS (SELECT *, n // 7 AS s, n % 7 AS m FROM o) SELECT c_custkey, CAST(CASE WHEN i < m * (s + 1) THEN i // (s + 1) ELSE (i - m * (s + 1)) // s + m END AS INT) AS fold FROM z")(
+    lambda s, d: rows.contiguous_folds(B.table(s, d, "customer"), 7, ["c_custkey"]).select("c_custkey", "fold")
+)
+
 
+# --- grids, tiles, files and the container -----------------------------------------------------
 
+_GRIDS = "SELECT n_nationkey AS layer, CAST(n_nationkey * 10 AS DOUBLE) AS gt0, CAST(1 + n_regionkey AS DOUBLE) AS gt1, CAST(500 - n_nationkey AS DOUBLE) AS gt3, -CAST(1 + n_regionkey AS DOUBLE) AS gt5, CAST(20 AS BIGINT) AS width, CAST(30 AS BIGINT) AS height FROM nation"
+
+
+def _grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, size = B.table(spark, sf_dir, "nation"), (F.col("n_regionkey") + 1).cast("double")
+    return n.select(F.col("n_nationkey").alias("layer"), (F.col("n_nationkey") * 10).cast("double").alias("gt0"), size.alias("gt1"), (500 - F.col("n_nationkey")).cast("double").alias("gt3"), (-size).alias("gt5"), F.lit(20).cast("long").alias("width"), F.lit(30).cast("long").alias("height"))
+
+
+query("common_grid", f"SELECT min(gt0) AS minx, min(gt3 + gt5 * height) AS miny, max(gt0 + gt1 * width) AS maxx, max(gt3) AS maxy, min(gt1) AS res FROM ({_GRIDS})")(lambda s, d: S.common_grid(_grids(s, d)))
+query("footprint", f"SELECT layer, gt0 AS minx, gt3 + gt5 * height AS miny, gt0 + gt1 * width AS maxx, gt3 AS maxy, gt3 AS corner FROM ({_GRIDS})")(
+    lambda s, d: eo.footprint(_grids(s, d)).select("layer", "minx", "miny", "maxx", "maxy", F.get_json_object("footprint", "$.coordinates[0][1][1]").cast("double").alias("corner"))
+)
+
+
+@query("align", f"""WITH g AS ({_GRIDS}), c AS (SELECT layer, r.row, k.col, CAST(layer * 1000 + r.row * 20 + k.col AS DOUBLE) AS value FROM g, range(30) r(row), range(20) k(col)),
+t AS (SELECT g.*, r.row AS nr, k.col AS nc, floor((g.gt3 - (500 - (r.row + 0.5) * 2.0)) / -g.gt5) AS sr, floor((k.col + 0.5) * 2.0 - g.gt0) AS raw, floor(((k.col + 0.5) * 2.0 - g.gt0) / g.gt1) AS sc FROM g, range(100) r(row), range(170) k(col))
+SELECT t.layer, t.nr AS row, t.nc AS col, c.value FROM t JOIN c ON c.layer = t.layer AND c.row = t.sr AND c.col = t.sc""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _grids(spark, sf_dir)
+    cells = g.select("layer", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(29).cast("long"))).alias("row")).select("layer", "row", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))).alias("col"))
+    cells = cells.withColumn("value", (F.col("layer") * 1000 + F.col("row") * 20 + F.col("col")).cast("double"))
+    return S.align(cells, g, (0.0, 300.0, 340.0, 500.0), 2.0).select("layer", "row", "col", "value")
+
+
+query("regrid_fine", f"WITH r AS ({B.RASTER}) SELECT 'v' AS layer, row * 2 + a AS row, col * 2 + b AS col, round(value, 6) AS value FROM r, range(2) x(a), range(2) y(b)")(
+    lambda s, d: rounded(S.regrid(B.raster(s, d).select(F.lit("v").alias("layer"), "row", "col", "value"), 0.5))
+)
+query("tile_windows", "SELECT x * 4 + y AS tile_id, 500 - least(128 * (y + 1), 500) AS row0, 499 - 128 * y AS row1, 128 * x AS col0, least(128 * (x + 1), 600) - 1 AS col1 FROM range(5) a(x), range(4) b(y)")(
+    lambda s, d: S.tile_windows(S.tiles(s, 128, 0, 0, 600, 500), 0.0, 500.0, 1.0).select("tile_id", "row0", "row1", "col0", "col1")
+)
+query("process_tiles", f"WITH r AS ({B.RASTER}) SELECT CAST(floor(row / 50.0) * 4 + floor(col / 16.0) AS BIGINT) AS tile_id, round(avg(value), 6) AS mean, count(*) AS n FROM r GROUP BY 1")(
+    lambda s, d: rounded(S.process_tiles(B.raster(s, d).select("row", "col", "value"), _tile_mean, "tile_id long, mean double, n long", 50, 16, n_cols=64), "mean")
+)
+query("block_write", f"WITH r AS ({B.RASTER}), p AS (SELECT *, col + 0.5 AS x, 500 - (row + 0.5) AS y FROM r WHERE row BETWEEN 300 AND 499 AND col BETWEEN 0 AND 47) SELECT row, col, CASE WHEN x + y < 200 AND x > 10 AND y > 20 AND x < 47 THEN round(value * 2, 6) END AS value FROM p WHERE row BETWEEN 300 AND 499")(
+    lambda s, d: rounded(S.block_write(B.raster(s, d).select("row", "col", "value"), [(10.0, 20.0), (47.0, 20.0), (47.0, 153.0), (10.0, 190.0)], F.col("value") * 2, 0.0, 500.0, 1.0, 50, 16).select("row", "col", "value"))
+)
+query("along_time", f"WITH c AS ({B.QUARTER}) SELECT px, grp || '.dev' AS grp, start_date, end_date, round(value - avg(value) OVER (PARTITION BY px, grp), 6) AS value FROM c")(
+    lambda s, d: rounded(S.apply_along_time(B.quarter_cube(s, d), _deviation, "dev"))
+)
+
+
+def _tile_mean(tile: int, cells):  # noqa: ANN001, ANN202
+    import pandas as pd
+
+    return pd.DataFrame({"tile_id": [tile], "mean": [cells["value"].mean()], "n": [len(cells)]})
+
+
+def _deviation(x):  # noqa: ANN001, ANN202
+    return x - x.mean(axis=1, keepdims=True)
+
+
+@query("geotiff_round_trip", f"WITH r AS ({B.RASTER}) SELECT name, row, col, CASE WHEN name = 'v' THEN round(value, 4) WHEN label > 0 THEN CAST(label AS DOUBLE) END AS value FROM r, (VALUES ('v'), ('class')) n(name) WHERE row BETWEEN 10 AND 39 AND col BETWEEN 10 AND 41")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, r = files.shared_folder(spark, "tiffs"), B.raster(spark, sf_dir)
+    size = r.agg(F.max("row"), F.max("col")).first()
+    grid = Grid(1000.0, 30.0, 9000.0, -30.0, (size[1] or 0) + 1, (size[0] or 0) + 1, 3035)
+    rasters.save_layers(r.select(F.lit("v").alias("name"), "row", "col", "value"), folder, grid).collect()
+    rasters.save_layers(r.select(F.lit("class").alias("name"), "row", "col", F.col("label").cast("double").alias("value")), folder, Grid(1000.0, 30.0, 9000.0, -30.0, grid.width, grid.height, 3035, 0.0), "uint8").collect()
+    layers = spark.createDataFrame([("g", f"{folder}/{n}.tif", 1, None, None, n) for n in ("v", "class")], "grp string, path string, band int, start_date date, end_date date, name string")
+    return rounded(rasters.read_layers(layers, window=(10, 10, 30, 32)).select("name", "row", "col", "value"), digits=4)
+
+
+@query("container_chain", f"WITH c AS ({B.MONTH}), p AS (SELECT px, start_date, end_date, max(value) FILTER (grp = 'A') AS a, max(value) FILTER (grp = 'N') AS n FROM c GROUP BY 1, 2, 3), z AS (SELECT px, year(start_date) AS y, (n - a) / (n + a) AS v FROM p) SELECT px, 'index' AS grp, make_date(y, 1, 1) AS start_date, make_date(y, 12, 31) AS end_date, CASE WHEN count(v) > 1 THEN round(quantile_cont(v, 0.25), 6) END AS value FROM z WHERE y >= 1996 GROUP BY px, y")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cube = Cube.of_cells(B.month_cube(spark, sf_dir).where("grp <> 'R'"))
+    made = cube.run(R.Calc({"nd": "(N - A) / (N + A)"})).drop(["A", "N"]).run(R.TimeAggregate(["yearly"], ["p25"], FIRST, LAST), drop_input=True)
+    return rounded(made.rename({"nd.yearly.p25": "index"}).filter_date(Y1).cells.select("px", "grp", "start_date", "end_date", "value"))
+
+
+query("container_layers", _CAT + "SELECT grp, grp || '_' || strftime(start_date, '%Y%m%d') || '_' || strftime(end_date, '%Y%m%d') AS name, start_date, end_date, true AS temporal FROM k WHERE grp <> 'R'")(
+    lambda s, d: Cube.of_cells(B.quarter_cube(s, d, "l_returnflag")).filter("grp <> 'R'").layers.select("grp", "name", "start_date", "end_date", "temporal")
+)
+query("fill_report", f"WITH {_DENSE} SELECT grp, CAST(count(*) FILTER (value IS NULL) AS BIGINT) AS gaps_before, CAST(0 AS BIGINT) AS gaps_after, CASE WHEN count(*) FILTER (value IS NULL) > 0 THEN CAST(100 AS DOUBLE) END AS percent FROM d GROUP BY grp")(
+    lambda s, d: R.SeasConvFill(7).report(C.densify(B.day_cube(s, d)))
+)
+query("catalog_json", _CAT + "SELECT grp || '/' || i || '/' || i || '.json' AS path, i AS id, strftime(start_date, '%Y-%m-%dT00:00:00Z') AS start FROM (SELECT *, grp || '_' || strftime(start_date, '%Y%m%d') || '_' || strftime(end_date, '%Y%m%d') AS i FROM k) UNION ALL SELECT DISTINCT grp || '/collection.json', grp, NULL FROM k UNION ALL SELECT 'catalog.json', 'layers', NULL")(
+    lambda s, d: eo.catalog_json(eo.stac_items(_catalog(s, d)), "layers").select("path", F.get_json_object("json", "$.id").alias("id"), F.get_json_object("json", "$.properties.start_datetime").alias("start"))
+)
+
+
+@query("flagship", f"""WITH RECURSIVE {_dense(B.MONTH)},
+f AS (SELECT a.px, a.grp, a.t, sum({_weight(12, 'a.n')} * b.value) / sum({_weight(12, 'a.n')}) AS fill FROM d a JOIN d b ON a.px = b.px AND a.grp = b.grp AND b.value IS NOT NULL GROUP BY 1, 2, 3),
+w AS (SELECT d.px, d.grp, d.t, d.start_date, coalesce(d.value, f.fill) AS value FROM d LEFT JOIN f ON f.px = d.px AND f.grp = d.grp AND f.t = d.t), {_smooth_sql('w', 'px, grp')},
+q AS (SELECT w.px, w.grp, date_trunc('quarter', w.start_date) AS q, quantile_cont(z.value, 0.5) AS value FROM w JOIN z ON z.px = w.px AND z.grp = w.grp AND z.t = w.t GROUP BY 1, 2, 3),
+p AS (SELECT px, grp, (row_number() OVER (PARTITION BY px, grp ORDER BY q) - 1) / count(*) OVER (PARTITION BY px, grp) AS x, value AS y FROM q)
+SELECT px, grp || '.seasconv.whittaker.p50' AS grp, count(*) AS n, round(regr_intercept(y, x), 6) AS alpha_m, round(regr_slope(y, x), 6) AS beta_m, round(regr_r2(y, x), 6) AS r2_m FROM p GROUP BY px, grp""")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gaps filled, smoothed, aggregated by quarter, and a line through each pixel's quarters."""
-    cube = C.densify(B.month_cube(spark, sf_dir))
-    smooth = temporal.whittaker(temporal.seasconv_fill(cube, 12))
-    quarters = A.time_aggregate(smooth, timedim.windows_df(spark, FIRST, LAST, "quarterly"), ["p50"])
+    series = temporal.to_series(C.densify(B.month_cube(spark, sf_dir)))
+    smooth = temporal.whittaker_series(temporal.seasconv_series(series, 12), source="filled")  # filled and smoothed as series, exploded once
+    cube = temporal.from_series(smooth, {"smooth": "seasconv.whittaker"})
+    quarters = A.time_aggregate(cube, timedim.windows_df(spark, FIRST, LAST, "quarterly"), ["p50"])
     series = temporal.to_series(quarters).select("px", "grp", F.size("ts").alias("T"), F.posexplode_outer("ts").alias("i", "p"))
     return rounded(trend.ols(series.select("px", "grp", (F.col("i") / F.col("T")).alias("x"), F.col("p.value").alias("y")), ["px", "grp"], "x", "y"), "alpha_m", "beta_m", "r2_m").select("px", "grp", "n", "alpha_m", "beta_m", "r2_m")
-
-
-QUERIES["flagship"] = flagship

@@ -26,8 +26,23 @@ def sessions(events: DataFrame, gap: str = "1 hour", late: str = "1 hour") -> Da
     return out.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n")
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a bounded stream to its end and returns the result table."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def run_to_end(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """Runs a bounded stream to its end and returns the result: of every key (columns that aren't null) the last row.
+
+    Each batch's changed rows go to a folder of their own below ``folder``, which driver
+    and executors share, together with the progress; a batch that runs twice replaces
+    its rows, and nothing passes the driver.
+    """
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{folder}/rows/b{batch}")
+
+    query = stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark = stream.sparkSession
+    none = spark.createDataFrame([], stream.schema).withColumn("batch", F.lit(0).cast("long"))
+    none.write.mode("overwrite").parquet(f"{folder}/rows/none")  # a stream without rows has no batch
+    rows = spark.read.schema(none.schema).parquet(f"{folder}/rows/*")
+    values = [c for c in stream.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("last"))
+    return last.select(*keys, *[F.col(f"last.{c}").alias(c) for c in values]).select(*stream.columns)

@@ -1,3 +1,4 @@
+import math
 from datetime import date, timedelta
 
 import numpy as np
@@ -83,8 +84,50 @@ def test_p_values(spark, t, dof, p):
     assert got == pytest.approx(p, abs=1e-9)
 
 
-def test_expressions():
-    assert bandmath.to_sql("where((a > 1) & (b < 2), log(a ** 2), arcsin(b))") == "if((a > 1)  AND  (b < 2), ln(pow(a, 2)), asin(b))"
+@pytest.mark.parametrize(("expr", "want"), [
+    ("where((a > 1) & (b < 2), log(a ** 2), arcsin(b))", math.log(9)), ("((a + b) * 2) ** 2", 49.0), ("a ** 2 ** 3", 6561.0), ("sqrt(abs(0 - a)) ** 2", 3.0), ("where(a > 0, a, b) ** 2", 9.0),
+    ("a / (b - b)", None), ("a % 2", 1.0), ("-a ** 2", -9.0), ("where((a > 1) ^ (b > 1), 1, 2)", 1.0), ("where(~(a > 5), 1, 0)", 1.0), ("arctan2(b, a)", math.atan2(0.5, 3)), ("where(0 < b < 1, 7, 8)", 7.0), ("floor(a) | 4", 7.0),
+])
+def test_expressions(spark, expr, want):
+    got = spark.createDataFrame([(3.0, 0.5)], "a double, b double").select(bandmath.to_column(expr).cast("double").alias("v")).first().v
+    assert got == (want if want is None else pytest.approx(want))
+
+
+def test_expressions_refuse_others():
+    for bad in ("__import__('os')", "a.b()", "a if b else c", "[a]", "a << 2"):
+        with pytest.raises((ValueError, SyntaxError)):
+            bandmath.to_column(bad)
+
+
+def test_division_by_zero_is_null(spark):
+    df = spark.createDataFrame([(1, 2.0, 2.0, 1.0), (2, 2.0, 2.0, 2.0)], "px long, v double, w double, x double")
+    assert metrics.regression_metrics(df, "v", "x").first().r2 is None
+    assert metrics.correction_factor(df, "x", ["v", "w"]).first().factor is None
+    assert trend.ols(df.withColumn("x", F.lit(1.0)), ["w"], "x", "v").first().beta_m is None
+    assert spatial.land_coverage(df.select(F.lit(99).alias("land"), F.col("v").alias("value"))).first().coverage is None
+    assert {r.r for r in spatial.rgb(df, ("v", "w", "x")).collect()} == {0.0}
+
+
+def test_regrid_takes_the_cell_at_the_centre(spark):
+    cells = spark.createDataFrame([("v", r, c, float(10 * r + c)) for r in range(6) for c in range(6)], "layer string, row long, col long, value double")
+    got = {(r.row, r.col): r.value for r in spatial.regrid(cells, 3.0).collect()}
+    assert got == {(0, 0): 11.0, (0, 1): 14.0, (1, 0): 41.0, (1, 1): 44.0}
+    finer = {(r.row, r.col): r.value for r in spatial.regrid(cells, 0.75).collect()}
+    assert len(finer) == 64 and all(v == 10 * int((i + 0.5) * 0.75) + int((j + 0.5) * 0.75) for (i, j), v in finer.items())
+    with pytest.raises(ValueError, match="overview"):
+        spatial.overview(cells, 0)
+
+
+def test_windows_of_cells():
+    assert spatial.pixel_window((90.0, 440.0, 180.0, 500.0), 0.0, 530.0, 30.0) == (1, 2, 3, 5)
+
+
+def test_ragged_series_in_windows(spark):
+    rows = [(1, "g", date(2015, m, 1), date(2015, m, 27), float(m)) for m in (1, 2, 3)] + [(2, "g", date(2015, 5, 1), date(2015, 5, 27), 9.0), (2, "g", date(2016, 5, 1), date(2016, 5, 27), float("nan"))]
+    got = aggregate.time_aggregate(spark.createDataFrame(rows, SCHEMA), timedim.windows_df(spark, date(2015, 1, 1), date(2016, 12, 31), "yearly"), ["mean", "count", "argmax"])
+    have = {(r.px, r.start_date.year, r.grp.rsplit(".", 1)[1]): r.value for r in got.collect()}
+    assert have[1, 2015, "mean"] == 2.0 and have[2, 2015, "mean"] == 9.0 and have[2, 2016, "count"] == 0.0 and have[2, 2016, "mean"] is None
+    assert (1, 2016, "mean") not in have and have[1, 2015, "argmax"] == (date(2015, 3, 1) - date(1970, 1, 1)).days
 
 
 def test_tiles_blocks_and_polygons(spark):
