@@ -1,7 +1,7 @@
 """WARC archives of individually compressed records with an embedded Zstandard dictionary.
 
 Every archive begins with a skippable frame (magic 0x184D2A5D) that holds a
-dictionary trained on the archive's first records; each record is a frame of its own
+dictionary trained on records of all parts of the archive; each record is a frame of its own
 that uses it, so records can be read singly. Records with equal payloads are written
 once, by that with the largest page id; the others are revisits that refer to it.
 """
@@ -23,26 +23,31 @@ from ._shared import SharedDir, buckets_for
 from ._skew import join_unique
 
 MAGIC = 0x184D2A5D
-#: Bytes of records an archive holds before compression, but for one larger record; the dictionary's size; bytes it is trained on.
+#: Bytes of records an archive holds before compression, but for one larger record; the dictionary's size; bytes it is trained on, in all and of one record.
 ARCHIVE = 32 << 20
 DICTIONARY = 48 << 10
-TRAINED_ON = 2 << 20
+TRAINED_ON, PIECE = 2 << 20, 64 << 10
 _ID = "urn:x-page:"
 
 
+def _pieces(r: bytes) -> bytes:
+    """A record, or of one over PIECE bytes its beginning, middle and end."""
+    if len(r) <= PIECE:
+        return r
+    third, middle = PIECE // 3, len(r) // 2
+    return r[:third] + r[middle : middle + third] + r[-third:]
+
+
 def dictionary(records: list[bytes]) -> zstd.ZstdCompressionDict:
-    """A dictionary trained on the first records; too few of them serve as raw content."""
-    samples, size = [], 0
-    for r in records:
-        samples.append(r[: 64 << 10])
-        size += len(samples[-1])
-        if size >= TRAINED_ON:
-            break
+    """A dictionary trained on records spread evenly over the archive; too few of them serve as raw content."""
+    size = sum(min(len(r), PIECE) for r in records)
+    every = max(1, -(-size // TRAINED_ON))
+    samples = [_pieces(r) for r in records[every // 2 :: every]]
     try:
         if len(samples) >= 8:
             return zstd.train_dictionary(DICTIONARY, samples, k=1000, d=8)
     except zstd.ZstdError:
-        pass
+        pass  # too little or too uniform content for training
     return zstd.ZstdCompressionDict(b"".join(samples)[:DICTIONARY] or b"WARC/1.1\r\nWARC-Type: response\r\n", dict_type=zstd.DICT_TYPE_RAWCONTENT)
 
 
@@ -108,7 +113,8 @@ def write_archives(pages: DataFrame, out: SharedDir, min_bytes: int = 0) -> Data
     largest page_id is the response (all of that id, if rows repeat) and the others
     revisit it; smaller payloads are all responses. A null html is an empty payload;
     rows with a null page_id are responses to which nothing refers. Other columns
-    are ignored.
+    are ignored. A task that runs again writes archives under other names; only those
+    of the returned table count.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.when(F.col("page_id").isNotNull() & (F.octet_length("html") >= min_bytes), F.sha1(F.col("html").cast("binary"))))
@@ -118,10 +124,11 @@ def write_archives(pages: DataFrame, out: SharedDir, min_bytes: int = 0) -> Data
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seq = [], 0, 0
-        part = TaskContext.get().partitionId()
+        task = TaskContext.get()
+        part, attempt = task.partitionId(), task.taskAttemptId()
 
         def close() -> pa.RecordBatch:
-            name = f"pages-{part:05d}-{seq:04d}.warc.zst"
+            name = f"pages-{part:05d}-{attempt}-{seq:04d}.warc.zst"
             out.write(name, *archive(held))
             return pa.record_batch({"path": [name], "n_records": pa.array([len(held)], pa.int64())})
 
