@@ -123,7 +123,7 @@ def neighbour_fingerprints(docs: DataFrame, k: int = 24, window: int = 100) -> D
     dealt = slim.join(F.broadcast(tail), F.col("ord") == F.col("top"), "left")
     dealt = dealt.select("doc_id", "ord", "text", F.explode_outer(F.when(F.col("to").isNull(), F.array(F.struct("b", F.lit(0).alias("tail")))).otherwise(F.array(F.struct("b", F.lit(0).alias("tail")), F.struct(F.col("to").alias("b"), F.lit(1).alias("tail"))))).alias("x"))
     dealt = dealt.select("doc_id", "ord", "text", "x.b", "x.tail")
-    ranged = dealt.repartition(parts, "b").sortWithinPartitions("b", "tail", F.desc("ord"), F.xxhash64("text"))
+    ranged = dealt.repartitionById(len(splits) - 1, F.col("b")).sortWithinPartitions("b", "tail", F.desc("ord"), F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # rows (b, tail, doc_id, text); each but the last has its next behind it
