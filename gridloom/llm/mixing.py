@@ -39,25 +39,26 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, total:
     are replaced. An empty table gives no rows.
     """
     own = ["copy", "n_copies", "rate", "shuffle_key"]
-    docs = docs.drop(*own)
-    key = F.concat(F.lit("s"), F.col("source").cast("string"))
-    rows = docs.withColumn("_key", F.coalesce(key, F.lit("null")))
-    sizes = rows.groupBy("_key").agg(F.sum(F.coalesce(F.char_length(F.col("text").cast("string")), F.lit(0))).alias("size"), F.count("*").alias("n"))
+    kept = [c for c in docs.columns if c not in own]
+    doc = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc")
+    rows = docs.select(doc, F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null")).alias("key"))
+    chars = F.coalesce(F.char_length(F.col("doc.text").cast("string")), F.lit(0))
+    sizes = rows.groupBy("key").agg(F.sum(chars).alias("size"), F.count("*").alias("n"))
     if weights is None:
         sizes = sizes.withColumn("w", F.lit(1.0))
     else:
-        given = docs.sparkSession.createDataFrame([("null" if k is None else f"s{k}", float(v)) for k, v in weights.items()] or [("s", 0.0)], "_key string, w double")
-        sizes = sizes.join(F.broadcast(given), "_key", "left").fillna(0.0, ["w"])
+        given = docs.sparkSession.createDataFrame([("null" if k is None else f"s{k}", float(v)) for k, v in weights.items()] or [("s", 0.0)], "key string, w double")
+        sizes = sizes.join(given, "key", "left").fillna(0.0, ["w"])
     sizes = sizes.cache()
     sums = sizes.agg(F.sum("size").alias("chars"), F.sum(F.when(F.col("size") > 0, F.col("w"))).alias("w"), F.count("*").alias("n")).first()
     goal, weight = float(sums.chars or 0) if total is None else float(total), float(sums.w or 0)
-    rates = sizes.select("_key", "n", F.when((F.col("size") > 0) & (F.lit(weight) > 0), F.col("w") / F.lit(weight or 1.0) * F.lit(goal) / F.col("size")).otherwise(F.lit(0.0)).alias("rate"))
+    rates = sizes.select("key", "n", F.when((F.col("size") > 0) & (F.lit(weight) > 0), F.col("w") / F.lit(weight or 1.0) * F.lit(goal) / F.col("size")).otherwise(F.lit(0.0)).alias("rate"))
     if sums.n <= BROADCAST_SOURCES:
-        rows = rows.join(F.broadcast(rates.drop("n")), "_key", "left")
+        rows = rows.join(F.broadcast(rates.drop("n")), "key", "left")
     else:
-        rows = join_unique(rows, rates, "_key", "n", ["rate"])
+        rows = join_unique(rows, rates, "key", "n", ["rate"])
     draws = f"cast(greatest(1, ceil(rate / {MOST_RATE}D)) as int)"
-    ident = "coalesce(cast(doc_id as string), '')"
+    ident = "coalesce(cast(doc.doc_id as string), '')"
     u = uniform(f"'{seed}'", ident, "cast(j as string)")
     inverse = f"""aggregate(sequence(1, cast(ceil(r + 12 * sqrt(r) + 24) as int)), named_struct('k', 0L, 'p', exp(-r), 'cdf', exp(-r), 'u', {u}),
         (acc, i) -> CASE WHEN acc.u > acc.cdf THEN named_struct('k', cast(i as bigint), 'p', acc.p * r / i, 'cdf', acc.cdf + acc.p * r / i, 'u', acc.u) ELSE acc END, acc -> acc.k)"""
@@ -65,7 +66,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, total:
     rows = rows.withColumn("n_copies", F.expr(f"aggregate(sequence(1, {draws}), 0L, (s, j) -> s + {inverse})"))
     rows = rows.where("n_copies > 0").withColumn("copy", F.explode_outer(F.expr("sequence(1L, n_copies)")))
     rows = rows.withColumn("shuffle_key", F.expr(f"conv(substring(md5(concat_ws(':', '{seed}', 'order', {ident}, cast(copy as string))), 1, 15), 16, 10)").cast("long"))
-    return rows.select(*docs.columns, *own).orderBy("shuffle_key")
+    return rows.select(*[F.col("doc").getField(c).alias(c) for c in kept], *own).orderBy("shuffle_key")
 
 
 def op10_query(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001
