@@ -1,14 +1,17 @@
 """The folder that the driver and all executors share, and jobs that exchange packed arrays.
 
 On a cluster it is the one that ``spark.checkpoint.dir`` names; where that is
-unset (tests) a temporary one of this machine is set. Files are written under
-another name and then renamed, so that a task that runs twice does no harm.
+unset and Spark runs in one process (tests) a temporary one of this machine is set.
+Files are written under another name and then renamed, so that a task that runs twice
+does no harm. Folders of jobs are removed when the driver ends.
 """
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -19,9 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; set to a temporary folder only where it is unset."""
+    """spark.checkpoint.dir of the session; set to a temporary folder only where it is unset and all runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         atexit.register(shutil.rmtree, root[len("file://") :], True)
         spark.sparkContext.setCheckpointDir(root)
@@ -36,7 +41,9 @@ class SharedDir:
 
     @classmethod
     def new(cls, spark: SparkSession, name: str) -> SharedDir:
-        return cls(f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}")
+        made = cls(f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}")
+        _MADE.append(made)
+        return made
 
     def sub(self, name: str) -> str:
         return f"{self.uri}/{name}"
@@ -99,6 +106,16 @@ class SharedDir:
         files.delete_dir(top)
 
 
+_MADE: list[SharedDir] = []
+
+
+@atexit.register
+def _remove() -> None:
+    for folder in _MADE:
+        with contextlib.suppress(Exception):  # the store may be gone by then
+            folder.drop()
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Writes the rows to the shared folder and reads them again: the lineage ends there."""
     spark = df.sparkSession
