@@ -47,6 +47,36 @@ def interval_id(year: Column, interval: Column) -> Column:
     return (year - 1980) * 23 + interval
 
 
+def interval_urls(start: int, end: int, tile: str, base: str, spark) -> DataFrame:  # noqa: ANN001
+    """id, url of every interval from one to another: base/tile/id.tif."""
+    return spark.range(start, end + 1).select("id", F.format_string(f"{base}/{tile}/%d.tif", "id").alias("url"))
+
+
+def color_map(styles: DataFrame, xml: str = "sld") -> DataFrame:
+    """Adds to style documents: colors (hex, as given), quantities, and their least and greatest (low, high), of their colour map entries."""
+    entries = "//*[local-name()='ColorMapEntry']"
+    values = F.transform(F.xpath(F.col(xml), F.lit(f"{entries}/@quantity")), lambda v: v.cast("double"))
+    return styles.withColumns({"colors": F.xpath(F.col(xml), F.lit(f"{entries}/@color")), "quantities": values, "low": F.array_min(values), "high": F.array_max(values)})
+
+
+def thumbnails(cells: DataFrame, most: int = 675, lo: float = 0.08, hi: float = 0.92) -> DataFrame:
+    """name, png of layers (name, row, col, value): at most ``most`` columns, every so many cells taken, grey between two percentiles; missing cells are transparent."""
+    import pyarrow as pa
+
+    from ..sources import png
+
+    size = cells.groupBy("name").agg(F.ceil((F.max("col") + 1) / most).cast("long").alias("every"))
+    some = cells.join(size, "name").where("row % every = 0 AND col % every = 0")
+    limits = cells.groupBy("name").agg(F.percentile("value", lo).alias("lo"), F.percentile("value", hi).alias("hi"))
+    grey = F.round(F.least(F.greatest(F.try_divide(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)), F.lit(1.0)) * 255)
+    rows = some.join(limits, "name").select("name", F.floor(F.col("row") / F.col("every")).alias("r"), F.floor(F.col("col") / F.col("every")).alias("c"), F.when(F.col("value").isNotNull(), grey).cast("int").alias("v"))
+
+    def draw(table: pa.Table) -> pa.Table:
+        return pa.table({"name": table["name"].slice(0, 1), "png": pa.array([png.grey(table["r"].to_numpy(), table["c"].to_numpy(), table["v"].to_numpy(zero_copy_only=False))], pa.binary())})
+
+    return rows.groupBy("name").applyInArrow(draw, "name string, png binary")
+
+
 def stac_items(layers: DataFrame) -> DataFrame:
     """Layers as (collection, item, asset) rows: one item for each date, assets deduplicated by href."""
     assets = layers.select(F.col("grp").alias("collection"), F.concat_ws("_", "grp", F.date_format("start_date", "yyyyMMdd"), F.date_format("end_date", "yyyyMMdd")).alias("item"), "start_date", "end_date", F.col("path").alias("href")).dropDuplicates(["href"])

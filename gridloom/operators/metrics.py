@@ -101,6 +101,22 @@ def optimal_threshold(curve: DataFrame, key: str) -> DataFrame:
     return good.groupBy(key).agg(F.max_by("threshold", F.struct(1 - F.abs(F.col("precision") - F.col("recall")), F.col("threshold"))).alias("threshold"))
 
 
+def evaluate(df: DataFrame, true: str, method: str, pred: str | None = None, probabilities: str | None = None, classes: list | None = None) -> dict[str, DataFrame]:
+    """The metrics of a method. regression (pred): r2 and rmse; predict (pred): confusion, report, averages; predict_proba
+    (probabilities, an array in the order of ``classes``): loss, loss by class, precision and recall by class with area and best threshold."""
+    if method == "regression":
+        return {"metrics": regression_metrics(df, true, pred)}
+    if method == "predict":
+        return {"confusion": confusion(df, true, pred), "report": class_report(df, true, pred), "averages": report_averages(df, true, pred)}
+    if method != "predict_proba":
+        raise ValueError(f"unknown method {method}")
+    place = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(true)).cast("int")
+    each = df.select(F.col(true).alias("_t"), F.posexplode(probabilities).alias("_i", "score")).withColumn("label", F.element_at(F.array(*[F.lit(c) for c in classes]), F.col("_i") + 1))
+    curve = pr_curve(each.select("label", (F.col("_t") == F.col("label")).alias("hit"), "score"), "hit", "score", "label")
+    own = df.where(place > 0).withColumn("_p", F.element_at(F.col(probabilities), place))
+    return {"log_loss": log_loss(own, "_p"), "class_log_loss": class_log_loss(df, true, classes, probabilities), "curve": curve, "auc": pr_auc(curve, "label"), "threshold": optimal_threshold(curve, "label")}
+
+
 def correction_factor(df: DataFrame, hit: str, members: list[str]) -> DataFrame:
     """Error of the mean prediction over the mean spread of the members: scales their spread to an uncertainty. Null if the members always agree."""
     arr = F.array(*members)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,15 @@ def bm25(docs: DataFrame, key: str, text: str, query: list[str], limit: int = 10
     return hits.select(F.row_number().over(Window.orderBy(F.desc("score"), key)).cast("long").alias("pos"), key, "score")
 
 
+def search_catalog(catalog: DataFrame, query: str, field: str = "title", limit: int = 10) -> DataFrame:
+    """Entries (id, title, description) that hold all words of a query in their title, or in title and description: pos, id, title, score."""
+    if field not in ("title", "description"):
+        raise ValueError(f"no field {field}")
+    text = F.col("title") if field == "title" else F.concat_ws(" ", "title", "description")
+    hits = bm25(catalog.select("id", text.alias("text")), "id", "text", re.findall("[a-z0-9]+", query.lower()), limit)
+    return hits.join(catalog.select("id", "title"), "id").select("pos", "id", "title", "score")
+
+
 def metadata_check(df: DataFrame, cols: list[str]) -> DataFrame:
     """Adds ``complete``: all columns hold more than white space."""
     ok = F.lit(True)

@@ -28,6 +28,18 @@ def block_of(row: Column, col: Column, height: int, width: int) -> tuple[Column,
     return F.floor(row / height).cast("long"), F.floor(col / width).cast("long")
 
 
+def block_plan(points: DataFrame, layers: DataFrame) -> DataFrame:
+    """Points (pt_id, x, y) in the blocks of layers (layer, gt0, gt1, gt3, gt5, block_h, block_w): pt_id, layer, row, col, block_row, block_col.
+
+    Layers of one grid share their points' cells, which are found once for each distinct grid.
+    """
+    grid = ["gt0", "gt1", "gt3", "gt5", "block_h", "block_w"]
+    plans = points.crossJoin(F.broadcast(layers.select(*grid).distinct()))  # a few grids
+    row, col = F.floor((F.col("y") - F.col("gt3")) / F.col("gt5")).cast("long"), F.floor((F.col("x") - F.col("gt0")) / F.col("gt1")).cast("long")
+    placed = plans.withColumns({"row": row, "col": col}).withColumns({"block_row": F.floor(row / F.col("block_h")).cast("long"), "block_col": F.floor(col / F.col("block_w")).cast("long")})
+    return placed.join(layers, grid).select("pt_id", "layer", "row", "col", "block_row", "block_col")
+
+
 def in_block(x: Column, y: Column, left: Column, bottom: Column, right: Column, top: Column) -> Column:
     """Half-open: left <= x < right and bottom < y <= top."""
     return (x >= left) & (x < right) & (y > bottom) & (y <= top)

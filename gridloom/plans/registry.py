@@ -505,6 +505,16 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.align(cells, g, (0.0, 300.0, 340.0, 500.0), 2.0).select("layer", "row", "col", "value")
 
 
+query("block_plan", f"WITH p AS ({B.POINTS}), l(layer, res, h) AS (VALUES ('a', 1, 64), ('b', 1, 64), ('c', 2, 50)) SELECT pt_id, layer, CAST(floor((500 - y) / res) AS BIGINT) AS row, CAST(floor(x / res) AS BIGINT) AS col, CAST(floor(floor((500 - y) / res) / h) AS BIGINT) AS block_row, CAST(floor(floor(x / res) / 16) AS BIGINT) AS block_col FROM p, l")(
+    lambda s, d: S.block_plan(B.points(s, d), s.createDataFrame([(n, 0.0, float(r), 500.0, -float(r), h, 16) for n, r, h in (("a", 1, 64), ("b", 1, 64), ("c", 2, 50))], "layer string, gt0 double, gt1 double, gt3 double, gt5 double, block_h int, block_w int"))
+)
+query("interval_urls", "SELECT i AS id, 'http://h/030E/' || i || '.tif' AS url FROM range(850, 874) r(i)")(lambda s, d: eo.interval_urls(850, 873, "030E", "http://h", s))
+query("search_catalog", """WITH c AS (SELECT p_partkey AS id, p_name AS title, list_filter(regexp_split_to_array(lower(p_name || ' ' || p_type), '[^a-z0-9]+'), lambda w: w <> '') AS w FROM part), q AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(p_type), '[^a-z0-9]+'), lambda w: w <> '')) AS term FROM part WHERE p_partkey = 1),
+s AS (SELECT id, title, len(w) AS l, avg(len(w)) OVER () AS m, count(*) OVER () AS n, w FROM c), t AS (SELECT id, title, l, m, n, term, count(*) AS tf FROM (SELECT id, title, l, m, n, unnest(w) AS term FROM s) JOIN q USING (term) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM t GROUP BY 1),
+h AS (SELECT id, title, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / m))), 6) AS score FROM t JOIN f USING (term) GROUP BY 1, 2 HAVING count(*) = (SELECT count(*) FROM q))
+SELECT row_number() OVER (ORDER BY score DESC, id) AS pos, id, title, score FROM h ORDER BY score DESC, id LIMIT 10""")(
+    lambda s, d: (lambda p: search.search_catalog(p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_type").alias("description")), p.where("p_partkey = 1").first().p_type, "description"))(B.table(s, d, "part"))
+)
 query("regrid_fine", f"WITH r AS ({B.RASTER}) SELECT 'v' AS layer, row * 2 + a AS row, col * 2 + b AS col, round(value, 6) AS value FROM r, range(2) x(a), range(2) y(b)")(
     lambda s, d: rounded(S.regrid(B.raster(s, d).select(F.lit("v").alias("layer"), "row", "col", "value"), 0.5))
 )

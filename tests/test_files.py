@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from gridloom.container import Cube
 from gridloom.functions import rows
-from gridloom.operators import eo, mapper, runners
-from gridloom.sources import geotiff, rasters
+from gridloom.operators import eo, mapper, metrics, runners
+from gridloom.sources import geotiff, rasters, toy
 
 GRID = geotiff.Grid(10.0, 30.0, 500.0, -30.0, 77, 130, 3035, 255.0)
 
@@ -211,3 +211,40 @@ def test_catalog_files(spark, tmp_path):
     assert {r.path for r in eo.save_catalog(docs, str(tmp_path)).collect()} == {"c/i1/i1.json", "c/collection.json", "catalog.json"}
     text = open(f"{tmp_path}/c/i1/i1.json").read()
     assert '"cloud":3' in text and '"bbox":[0.0,1.0,2.0,3.0]' in text and '"Title"' in open(f"{tmp_path}/c/collection.json").read()
+
+
+def test_toy_data(spark):
+    cube = toy.ndvi(spark, 4, 5, gappy=True).cache()
+    assert cube.count() == 4 * 5 * 24 and 0 < cube.where("value IS NULL").count() < 240
+    first = cube.agg(F.min("start_date"), F.max("end_date")).first()
+    assert tuple(first) == (date(2014, 12, 2), date(2020, 12, 1))
+    pts = toy.samples(spark, 50, 4, 5)
+    assert pts.where("row < 4 AND col < 5 AND target BETWEEN 0 AND 3 AND year(date) BETWEEN 2015 AND 2020").count() == 50
+    assert runners.SeasConvFill(4).report(cube.drop("row", "col")).first().percent == 100.0
+
+
+def test_thumbnails_and_styles(spark):
+    import zlib
+
+    cells = spark.createDataFrame([("a", r, c, None if r == c == 0 else float(c)) for r in range(4) for c in range(6)], "name string, row long, col long, value double")
+    png = eo.thumbnails(cells, most=3, lo=0.0, hi=1.0).first().png
+    assert png[:8] == b"\x89PNG\r\n\x1a\n" and png[16:24] == (3).to_bytes(4, "big") + (2).to_bytes(4, "big")
+    body = zlib.decompress(png[png.index(b"IDAT") + 4 :])
+    assert list(body) == [0, 0, 0, 102, 255, 204, 255, 0, 0, 255, 102, 255, 204, 255]
+    sld = "<a xmlns:s='u'><s:ColorMapEntry color='#ff0000' quantity='3'/><s:ColorMapEntry color='#00ff00' quantity='-1.5'/></a>"
+    got = eo.color_map(spark.createDataFrame([(sld,)], "sld string")).first()
+    assert (got.colors, got.quantities, got.low, got.high) == (["#ff0000", "#00ff00"], [3.0, -1.5], -1.5, 3.0)
+
+
+def test_evaluation(spark):
+    df = spark.createDataFrame([(0, 0, [0.9, 0.1], 1.0, 1.5), (1, 1, [0.2, 0.8], 2.0, 2.0), (1, 0, [0.6, 0.4], 3.0, 2.5)], "t int, p int, q array<double>, y double, z double")
+    kinds = metrics.evaluate(df, "t", "predict", pred="p")
+    assert {(r.actual, r.predicted): r.n for r in kinds["confusion"].collect()} == {(0, 0): 1, (1, 1): 1, (1, 0): 1}
+    assert kinds["averages"].where("label = 'accuracy'").first().f1 == pytest.approx(2 / 3)
+    soft = metrics.evaluate(df, "t", "predict_proba", probabilities="q", classes=[0, 1])
+    assert soft["log_loss"].first()[0] == pytest.approx(-np.mean(np.log([0.9, 0.8, 0.4])))
+    assert {r.label: r.log_loss for r in soft["class_log_loss"].collect()}[1] == pytest.approx(-np.mean(np.log([0.9, 0.8, 0.4])))
+    assert {r.label: r.auc for r in soft["auc"].collect()}[1] == pytest.approx(1.0)
+    assert metrics.evaluate(df, "y", "regression", pred="z")["metrics"].first().rmse == pytest.approx(np.sqrt(0.5 / 3))
+    with pytest.raises(ValueError, match="method"):
+        metrics.evaluate(df, "t", "other")
