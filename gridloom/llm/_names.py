@@ -24,7 +24,7 @@ from ._bytes import U, release, releasing, text_bytes
 from ._shared import SharedDir
 
 #: Bytes of text in a block, but for one longer text.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 LAST_ID = np.iinfo(np.int64).max
 
 

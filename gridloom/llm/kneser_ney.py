@@ -36,11 +36,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import U, mix, releasing, text_bytes, word_hashes
-from ._names import BLOCK, blocks
+from ._names import blocks
 from ._shared import SharedDir, buckets_for
 
 #: The hash of the token that ends every text.
 END = 0x2545F4914F6CDD1D
+#: Bytes of text that are counted together, and that are scored together.
+COUNTED, SCORED = 16 << 20, 8 << 20
 #: Array files that a worker keeps mapped; those longest unused are closed.
 MAPS = 4096
 #: What a word's id is raised by in n-grams, and the mark that stands before a text's start.
@@ -344,7 +346,7 @@ def train(docs: DataFrame, order: int = 3, skip_held_out: bool = True) -> Model:
     nb, files = min(buckets_for(spark, docs), 1 << 16), SharedDir.new(spark, "ngrams")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        for block in blocks(batches, 2 * BLOCK):
+        for block in blocks(batches, COUNTED):
             table = block.table
             yield table.filter(pc.invert(table["held"])) if skip_held_out else table
 
@@ -441,7 +443,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = model.reader()
-        for block in blocks(batches):
+        for block in blocks(batches, SCORED):
             table = block.table
             hashes, n = tokens(table["text"])
             ids, c = reader.words(hashes)
