@@ -208,8 +208,8 @@ def identify(docs: DataFrame, text: str = "text", declared: str = "lang", host:
 
 
 def op2_query(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001
-    """Documents (declared language and source) and pages (markup, address) in one corpus; page_id or doc_id is null."""
+    """Documents (declared language and source) and pages (markup, address) in one corpus. Pages have doc_ids below 0 (-1 - page_id); page_id is null for documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", "lang", "source", "n_chars")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    shown = pages.select(F.lit(None).cast("long").alias("doc_id"), "page_id", markup_text(F.col("html")).alias("text"), markup_language(F.col("html")).alias("lang"), split_url(F.col("url"))[0].alias("source"))
+    shown = pages.select((-1 - F.col("page_id")).cast("long").alias("doc_id"), F.col("page_id").cast("long").alias("page_id"), markup_text(F.col("html")).alias("text"), markup_language(F.col("html")).alias("lang"), split_url(F.col("url"))[0].alias("source"))
     return identify(docs.unionByName(shown.withColumn("n_chars", F.char_length("text").cast("long"))), keep_text=False)

@@ -258,7 +258,7 @@ def test_language_query_takes_documents_and_pages(spark):
     sf = "/root/testdata/sf0.001"
     got = language_id.op2_query(spark, sf).cache()
     docs, pages = (spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("documents", "pages"))
-    assert got.where("doc_id is not null").count() == docs and got.where("page_id is not null").count() == pages
+    assert got.where("doc_id >= 0 AND page_id is null").count() == docs and got.where("doc_id = -1 - page_id").count() == pages
     assert got.where("page_id is not null AND id_lang = lang").count() >= 0.9 * pages
     assert got.where("page_id is not null AND contains(source, '.example.')").count() >= 0.9 * pages
 
