@@ -1,4 +1,4 @@
-"""Self-join of documents by the Jaccard likeness of their word n-gram sets, with signature trees.
+"""Self-join of documents by the Jaccard likeness of their word n-gram sets: signatures deal documents into candidate groups, signature trees find the links within these.
 
 1. Every document becomes the set of hashes of its word n-grams; equal sets are one
    class. Signatures deal the classes out: two sets of likeness >= t differ in at

@@ -1,18 +1,22 @@
-"""Suffix-array dedup: removes repeats of long byte strings by distributed prefix doubling.
+"""Suffix-array dedup: removes repeats of long byte strings by prefix doubling, with hashes for ranks.
 
-Positions are ranked by what follows them. A rank is the 64-bit name of the next L
-bytes; pairing the names of position p and p + L' gives those of L + L' bytes, so
-that lengths grow 32, 64, 100. Spark sorts (name, document) pairs of a whole corpus
-after a doubling; positions whose name has become unique leave, the others go on
-until the threshold. Three sorts suffice:
+A position's rank for L bytes is a 64-bit name of these bytes; pairing the names of
+positions p and p + L' gives those of L + L' bytes. Names are equal where ranks would
+be, so that what matters here - is a string unique, which of several is first - needs
+no order among different strings, and no rank has to travel back. Names go to buckets
+by their upper bits and are sorted there (see _names); positions whose name is unique
+leave, the others go on until the threshold. Three rounds suffice:
 
 1. whole texts: later copies need no positions at all,
 2. names of 32 bytes at window minima: every ``threshold``-byte string holds the
    minimum of its 32-byte names, so a unique minimum makes the string unique,
-3. names of ``threshold`` bytes at the positions that are left: the earliest stays.
+3. names of ``threshold`` bytes, doubled within the worker from those of 32, at the
+   positions that are left: the earliest stays.
 
 Equal strings get equal names; different ones share a 64-bit name with probability
-2**-64 a pair.
+2**-64 a pair. ``ranked_starts`` is the same with true ranks: Spark sorts pairs of
+ranks of all positions. Its rows are the text many times over (the README has
+figures), so the operator doesn't use it.
 """
 
 from __future__ import annotations
@@ -22,13 +26,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bytes import TILE, U, mix, prefix_hash, sliding_min
-from ._names import Block, Sorted, bits_of, blocks, name_round
-from ._shared import SharedDir, buckets_for
+from ._names import LAST_ID, Block, Sorted, bits_of, blocks, name_round
+from ._shared import SharedDir, buckets_for, settle
+
+
+#: Bytes of text that make the first rank of ranked_starts.
+FIRST = 8
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -181,6 +190,53 @@ def repeated_spans(docs: DataFrame, threshold: int = 100, carry: tuple[str, ...]
     return wide.mapInArrow(cut, schema)
 
 
+def ranked_starts(docs: DataFrame, threshold: int = 100) -> DataFrame:
+    """Distributed prefix doubling as such: (row, pos) of every ``threshold``-byte string that also starts earlier.
+
+    Ranks begin as 8 bytes of text. At offsets 8, 16, ... Spark joins each position's
+    rank with that of the position one offset on, sorts the pairs in ranges and
+    numbers the distinct ones; a position whose pair is unique leaves, and with it all
+    that would need its rank. Each round is written to the shared folder. ``row``
+    numbers the rows of ``docs`` in order of doc_id (null last).
+    """
+    order = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    now = settle(order.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "texts")
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = text.as_py().encode() if text.is_valid else b""
+                if len(raw) >= threshold:
+                    eight = np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, np.uint8), FIRST)
+                    rank = np.ascontiguousarray(eight).view(">i8").reshape(-1).astype(np.int64)
+                    yield pa.record_batch({"row": pa.array(np.full(len(rank), row)), "pos": pa.array(np.arange(len(rank))), "rank": pa.array(rank)})
+
+    now, have = now.select("row", "text").mapInArrow(begin, "row long, pos long, rank long"), FIRST
+    while have < threshold:
+        step = min(have, threshold - have)
+        ahead = now.select("row", (F.col("pos") - step).alias("pos"), F.col("rank").alias("next"))
+        pairs = now.join(ahead, ["row", "pos"]).repartitionByRange("rank", "next").sortWithinPartitions("rank", "next")
+
+        def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Numbers distinct pairs of a range; ranges hold a pair whole."""
+            seen, last = TaskContext.get().partitionId() << 40, None
+            for batch in batches:
+                a, b = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+                new = np.ones(len(a), bool)
+                new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+                new[:1] = [last != (a[0], b[0])] if len(a) else []
+                rank = seen + np.cumsum(new)
+                if len(a):
+                    seen, last = int(rank[-1]), (a[-1], b[-1])
+                yield pa.record_batch({"row": batch.column(0), "pos": batch.column(1), "rank": pa.array(rank)})
+
+        ranked = settle(pairs.select("row", "pos", "rank", "next").mapInArrow(number, "row long, pos long, rank long"), "ranks")
+        counts = ranked.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1")
+        now, have = ranked.join(counts, "rank", "left_semi").select("row", "pos", "rank"), have + step
+    first = now.groupBy("rank").agg(F.min(F.struct("row", "pos")).alias("first"))
+    return now.join(first, "rank").where(F.struct("row", "pos") != F.col("first")).select("row", "pos")
+
+
 def op7_query(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return repeated_spans(docs, 100).drop("kept")

@@ -4,12 +4,13 @@ import os
 import random
 import sys
 
+import duckdb
 import pytest
 
 sys.path.insert(0, os.path.dirname(__file__))
 import brute
 
-from gridloom.llm import jaccard_join, kneser_ney, winnow
+from gridloom.llm import _components, jaccard_join, kneser_ney, queries, suffix_dedup, winnow
 from gridloom.llm._shared import settle
 
 
@@ -76,3 +77,47 @@ def test_pipeline_keeps_one_row_a_component(spark):
     rows = [(1, changed()), (1, changed()), (1, changed(59)), (2, changed()), (2, other)]
     left = sorted((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, as_documents(spark, rows), "").collect())
     assert [d for d, _ in left] == [1, 2] and left[0][1] in (changed(), changed(59)) and left[1][1] == other
+
+
+def test_ranked_prefix_doubling(spark):
+    """Positions by sorted rank pairs cover the same bytes as by names, and as by brute force."""
+    r = random.Random(6)
+    base = ["".join(r.choice("abé") for _ in range(r.randint(0, 90))) for _ in range(6)]
+    rows = [(i, r.choice(base) + r.choice(base)[:40] + "z" * r.choice([0, 0, 30])) for i in range(25)] + [(25, None), (26, "")]
+    got = suffix_dedup.ranked_starts(as_documents(spark, rows), 20).collect()
+    place = {n: i for i, n in enumerate(sorted({x.row for x in got}))}
+    seen, want = set(), {}
+    for d, text in rows:
+        b = (text or "").encode()
+        for p in range(len(b) - 19):
+            if b[p : p + 20] in seen:
+                want.setdefault(d, []).append(p)
+            seen.add(b[p : p + 20])
+    starts = {}
+    for x in got:
+        starts.setdefault(x.row, []).append(x.pos)
+    assert len(place) == len(want)
+    assert [sorted(starts[n]) for n in sorted(starts)] == [want[d] for d in sorted(want)]
+
+
+def test_components_of_a_star(spark):
+    edges = [(0, i) for i in range(1, 700)] + [(1000 + i, 1001 + i) for i in range(30)] + [(5, 5), (None, 3)]
+    got = {x.node: x.root for x in _components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: 0 for i in range(1, 700)} | {1000 + i: 1000 for i in range(1, 31)}
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_queries_as_their_sql(spark, name):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "pages", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, sf)
+    cur = con.execute(queries.SQL[name])
+    cols = [x[0] for x in cur.description]
+    assert sorted(cols) == sorted(df.columns)
+
+    def rows(all_):
+        return sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in all_), key=str)
+
+    assert rows(tuple(r[c] for c in cols) for r in df.collect()) == rows(cur.fetchall())
