@@ -542,7 +542,7 @@ def _deviation(x):  # noqa: ANN001, ANN202
     return x - x.mean(axis=1, keepdims=True)
 
 
-@query("geotiff_round_trip", f"WITH r AS ({B.RASTER}) SELECT name, row, col, CASE WHEN name = 'v' THEN round(value, 4) WHEN label > 0 THEN CAST(label AS DOUBLE) END AS value FROM r, (VALUES ('v'), ('class')) n(name) WHERE row BETWEEN 10 AND 39 AND col BETWEEN 10 AND 41")
+@query("geotiff_round_trip", f"WITH r AS ({B.RASTER}) SELECT name, row, col, CASE WHEN name = 'v' THEN round(value, 4) ELSE CAST(greatest(label, 1) AS DOUBLE) END AS value FROM r, (VALUES ('v'), ('class')) n(name) WHERE row BETWEEN 10 AND 39 AND col BETWEEN 10 AND 41")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, r = files.shared_folder(spark, "tiffs"), B.raster(spark, sf_dir)
     size = r.agg(F.max("row"), F.max("col")).first()

@@ -51,3 +51,9 @@ def read_sheet(spark: SparkSession, path: str) -> DataFrame:
         elif c.endswith("_date"):
             df = df.withColumn(c, F.try_to_timestamp(c))
     return df
+
+
+def read_sheets(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
+    """The sheets of a workbook that is stored as a CSV file for each; sheets without a header are left out."""
+    sheets = {name: read_sheet(spark, path) for name, path in paths.items()}
+    return {name: df for name, df in sheets.items() if df.columns}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridloom.container import Cube
 from gridloom.functions import rows
 from gridloom.operators import eo, mapper, metrics, runners
-from gridloom.sources import geotiff, rasters, toy
+from gridloom.sources import cube_io, geotiff, rasters, toy
 
 GRID = geotiff.Grid(10.0, 30.0, 500.0, -30.0, 77, 130, 3035, 255.0)
 
@@ -248,3 +248,13 @@ def test_evaluation(spark):
     assert metrics.evaluate(df, "y", "regression", pred="z")["metrics"].first().rmse == pytest.approx(np.sqrt(0.5 / 3))
     with pytest.raises(ValueError, match="method"):
         metrics.evaluate(df, "t", "other")
+
+
+def test_sheets(spark, tmp_path):
+    for name, text in (("a", "id,b_list,c_date\n1,\"x, y\",2015-01-02\n2,z,never\n"), ("empty", "")):
+        with open(f"{tmp_path}/{name}.csv", "w") as f:
+            f.write(text)
+    sheets = cube_io.read_sheets(spark, {n: f"{tmp_path}/{n}.csv" for n in ("a", "empty")})
+    assert list(sheets) == ["a"]
+    rows = {r.id: (r.b_list, r.c_date and r.c_date.date()) for r in sheets["a"].collect()}
+    assert rows == {"1": (["x", "y"], date(2015, 1, 2)), "2": (["z"], None)}
