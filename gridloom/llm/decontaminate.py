@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import settle
+
 CHUNK = 1 << 12
 #: Kept k-grams (about 16 bytes each) and spans up to which the benchmark is broadcast: 16 MB at most.
 BROADCAST_ROWS = 100_000
@@ -94,64 +96,66 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 13, k: int
     comma-joined; lowercase hex), contaminated (n_hit > 0 and share * n_hit >=
     n_words). Columns of ``docs`` with these names are replaced. Null texts have no
     words; null item_ids are left out; equal items count each. Empty tables give no
-    hits.
+    hits. ``docs`` is read twice (once for its words, whose hits are written to the
+    shared folder) and must be dealt alike, as files and checkpoints are; a change
+    raises an error.
     """
     window = span - k + 1
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text").cast("string")).alias("all")).where("item is not null and size(all) > 0")
     spans = items.select("item", F.expr(f"CASE WHEN size(all) < {span} THEN array(all) ELSE transform(sequence(1, size(all) - {span - 1}), i -> slice(all, i, {span})) END").alias("s"))
     spans = spans.select("item", F.explode_outer("s").alias("w")).select("item", F.size("w").alias("len"), F.array_join("w", " ").alias("span"))
     sets = spans.groupBy("span", "len").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("set_id", F.xxhash64(F.array_join("items", ","))).cache()
-    kinds = sets.groupBy("len").agg(F.count("*").alias("n")).collect()  # at most `span` rows
-    small = sum(r.n for r in kinds) <= BROADCAST_ROWS
+    kinds = sets.groupBy("len").agg(F.count("*").alias("n"), F.sum(F.size("items")).alias("named")).collect()  # at most `span` rows
+    small = sum(r.n + r.named for r in kinds) <= BROADCAST_ROWS
     near = F.broadcast if small else (lambda x: x)
-    lookup = sets.select("span", "set_id")
+    short = sorted(r.len for r in kinds if r.len < span)
 
-    rows = docs.withColumn("_rid", F.monotonically_increasing_id())
-    base = rows.select("_rid", words_of(F.col("text").cast("string")).alias("all")).withColumn("n_words", F.size("all").cast("long"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("rid"), F.xxhash64("text").alias("now"))
+    base = rows.select("rid", F.col("now").alias("seen"), words_of(F.col("doc.text").cast("string")).alias("all")).withColumn("n_words", F.size("all").cast("long"))
     chunks = chunked(base, span)
-    mark = F.when(F.col("base") == 0, F.array(F.lit(-1).cast("long"))).otherwise(F.array().cast("array<bigint>"))
 
-    # kept k-grams of the items' full spans: one for each span at least, as in the documents
+    # names of the items' spans: kept k-grams of full ones (one for each span at least, as in the documents), all words of shorter ones
     full = fingerprints(items.where(F.size("all") >= span).transform(lambda d: chunked(d, span)), k, window)
-    item_fp = full.select(F.explode_outer("fp").alias("x")).where("x is not null").select(F.expr(f"x & {-CHUNK}L").alias("ih")).distinct()
-    marked = fingerprints(chunks, k, window).select("_rid", "n_words", "base", "words", F.explode_outer(F.concat("fp", mark)).alias("x")).where("x is not null")
-    marked = marked.withColumn("dh", F.expr(f"CASE WHEN x = -1 THEN NULL ELSE x & {-CHUNK}L END"))
-    at = F.expr(f"cast({CHUNK - 1} - (x & {CHUNK - 1}L) AS int)")
-    from_ = F.greatest(at - F.lit(window - 1), F.lit(0))
-    if not small:  # the chunk's words would be shuffled with every k-gram: only those around it go along
-        marked = marked.withColumn("words", F.expr(f"slice(words, greatest(cast({CHUNK - 1} - (x & {CHUNK - 1}L) AS int) - {window - 1}, 0) + 1, {span + window - 1})")).withColumn("cut", F.lit(True))
-    hits = marked.join(near(item_fp), F.col("dh") == F.col("ih"), "left").where("ih is not null or x = -1")
-    around = F.col("words") if not small else F.slice("words", from_ + 1, F.lit(span + window - 1))
-    hits = hits.select("_rid", "n_words", (F.col("base") + from_).cast("long").alias("start"), F.when(F.col("ih").isNotNull(), around).alias("near"))
-    spread = hits.select("_rid", "n_words", "start", F.explode_outer(F.expr(f"CASE WHEN size(near) >= {span} THEN transform(sequence(0, size(near) - {span}), i -> named_struct('i', i, 'span', array_join(slice(near, i + 1, {span}), ' '))) END")).alias("c"))
-    found = spread.select("_rid", "n_words", (F.col("start") + F.col("c.i")).alias("s"), F.col("c.span").alias("text_span"), F.lit(span).cast("long").alias("len"))
-    short = sorted(r.len for r in kinds if r.len < span)
-    for m in short:
-        shorter = sets.where(F.col("len") == m).select("span").distinct().withColumn("ih", F.expr("aggregate(slice(transform(split(span, ' '), w -> xxhash64(w)), 2, 99), element_at(transform(split(span, ' '), w -> xxhash64(w)), 1), (a, b) -> xxhash64(a, b))")).select("ih").distinct()
-        one = chunked(base, span).withColumn("h", F.expr("transform(words, w -> xxhash64(w))"))
-        now = "h"
-        for i in range(1, m):
-            one = one.withColumn(f"s{i}", F.expr(f"zip_with({_head(now, 1)}, {_shift('h', i)}, (a, b) -> xxhash64(a, b))"))
-            now = f"s{i}"
-        one = one.select("_rid", "n_words", "base", "words", F.posexplode_outer(now).alias("i", "dh")).where("dh is not null")
-        if not small:
-            one = one.withColumn("words", F.slice("words", F.col("i") + 1, F.lit(m))).withColumn("base", F.col("base") + F.col("i")).withColumn("i", F.lit(0))
-        one = one.join(near(shorter), F.col("dh") == F.col("ih"))
-        found = found.unionByName(one.select("_rid", "n_words", (F.col("base") + F.col("i")).cast("long").alias("s"), F.array_join(F.slice("words", F.col("i") + 1, F.lit(m)), " ").alias("text_span"), F.lit(m).cast("long").alias("len")))
-    met = found.join(near(lookup), F.col("text_span") == F.col("span"), "left")
-    per = met.groupBy("_rid").agg(
+    names = full.select(F.explode_outer("fp").alias("x")).where("x is not null").select(F.lit(span).alias("il"), F.expr(f"x & {-CHUNK}L").alias("ih"))
+    folded = "aggregate(slice(transform(split(span, ' '), w -> xxhash64(w)), 2, 99), element_at(transform(split(span, ' '), w -> xxhash64(w)), 1), (a, b) -> xxhash64(a, b))"
+    names = names.unionByName(sets.where(F.col("len") < span).select(F.col("len").alias("il"), F.expr(folded).alias("ih"))).distinct()
+
+    # one pass over the documents: kept k-grams as (span, first word of the neighbourhood, name), and every word sequence of the short lengths
+    marked, last = fingerprints(chunks, k, window), "h"
+    marks = [f"transform(fp, x -> named_struct('len', {span}, 'at', greatest(cast({CHUNK - 1} - (x & {CHUNK - 1}L) AS int) - {window - 1}, 0), 'name', x & {-CHUNK}L))"]
+    for i in range(1, max(short, default=0) + 1):
+        if i > 1:
+            marked = marked.withColumn(f"s{i}", F.expr(f"zip_with({_head(last, 1)}, {_shift('h', i - 1)}, (a, b) -> xxhash64(a, b))"))
+            last = f"s{i}"
+        if i in short:
+            marks.append(f"transform({last}, (x, i) -> named_struct('len', {i}, 'at', i, 'name', x))")
+    marks.append("CASE WHEN base = 0 THEN array(named_struct('len', 0, 'at', 0, 'name', 0L)) ELSE array() END")
+    marked = marked.select("rid", "seen", "n_words", "base", "words", F.explode_outer(F.expr(f"concat({', '.join(marks)})")).alias("x")).where("x is not null")
+    marked = marked.select("rid", "seen", "n_words", "base", "words", "x.len", "x.at", "x.name")
+    around = F.slice("words", F.col("at") + 1, F.when(F.col("len") == span, F.lit(span + window - 1)).otherwise(F.col("len")))
+    if not small:  # the chunk's words would be shuffled with every name: only those around it go along
+        marked = marked.withColumn("words", around)
+    hits = marked.join(near(names), (F.col("len") == F.col("il")) & (F.col("name") == F.col("ih")), "left").where("ih is not null or len = 0")
+    hits = hits.select("rid", "seen", "n_words", (F.col("base") + F.col("at")).cast("long").alias("start"), "len", F.when(F.col("ih").isNotNull(), around if small else F.col("words")).alias("near"))
+    spread = hits.select("rid", "seen", "n_words", "start", "len", F.explode_outer(F.expr("CASE WHEN len > 0 AND size(near) >= len THEN transform(sequence(0, size(near) - len), i -> named_struct('i', i, 'span', array_join(slice(near, i + 1, len), ' '))) END")).alias("c"))
+    found = spread.select("rid", "seen", "n_words", (F.col("start") + F.col("c.i")).alias("s"), F.col("c.span").alias("text_span"), F.col("len").cast("long").alias("len"))
+    met = found.join(near(sets.select("span", "set_id")), F.col("text_span") == F.col("span"), "left")
+    per = met.groupBy("rid").agg(
         F.max("n_words").alias("n_words"),
+        F.max("seen").alias("seen"),
         F.array_sort(F.collect_set(F.when(F.col("set_id").isNotNull(), F.struct("s", (F.col("s") + F.col("len")).alias("e"))))).alias("iv"),
         F.collect_set("set_id").alias("ids"),
     )
-    per = per.select("_rid", "n_words", F.expr(_covered("iv")).alias("n_hit"), "ids")
+    per = settle(per.select("rid", "seen", "n_words", F.expr(_covered("iv")).alias("n_hit"), "ids"), "hits")
     whole = sets.select("set_id", "items").dropDuplicates(["set_id"])
-    named = per.where(F.size("ids") > 0).select("_rid", F.explode("ids").alias("set_id")).join(near(whole), "set_id").select("_rid", F.explode("items").alias("item")).groupBy("_rid").agg(F.array_sort(F.collect_set("item")).alias("names"))
-    per = per.drop("ids").join(named, "_rid", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+    named = per.where(F.size("ids") > 0).select("rid", F.explode("ids").alias("set_id")).join(near(whole), "set_id").select("rid", F.explode("items").alias("item")).groupBy("rid").agg(F.array_sort(F.collect_set("item")).alias("names"))
+    per = per.drop("ids").join(named, "rid", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
     own = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    per = per.select("_rid", "n_words", "n_hit", F.size("names").cast("long").alias("n_items"), F.sha2(F.array_join("names", ",").cast("binary"), 256).alias("items_sha256"))
+    per = per.select("rid", "seen", "n_words", "n_hit", F.size("names").cast("long").alias("n_items"), F.sha2(F.array_join("names", ",").cast("binary"), 256).alias("items_sha256"))
     per = per.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
-    return rows.drop(*own).join(per, "_rid").select(*[c for c in docs.columns if c not in own], *own)
+    alike = F.when(F.col("seen") == F.col("now"), F.col("n_words")).otherwise(F.raise_error(F.lit("the input's partitions changed between two reads")).cast("long"))
+    joined = rows.join(per, "rid", "left").withColumn("n_words", alike)
+    return joined.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns if c not in own], *own)
 
 
 def op4_query(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001
