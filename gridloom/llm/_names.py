@@ -43,7 +43,7 @@ def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK) -> Iterator[Bl
     part, sub, held, size = TaskContext.get().partitionId() if TaskContext.get() else 0, 0, [], 0
     for batch in batches:
         table = pa.Table.from_batches([batch])
-        ends = np.cumsum(pc.fill_null(pc.binary_length(table["text"].cast(pa.large_string())), 0).to_numpy()) if len(table) else np.empty(0, np.int64)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(table["text"]), 0).to_numpy(), dtype=np.int64) if len(table) else np.empty(0, np.int64)
         at = 0
         while at < len(table):
             base = ends[at - 1] if at else 0
@@ -116,8 +116,10 @@ def _reduce(table: pa.Table) -> pa.Table:
     got = [_unpack(raw) for _, raw in parts]
     sizes = [len(n) for n, _ in got]
     names, ids = np.concatenate([n for n, _ in got]), np.concatenate([i for _, i in got])
+    del got
     order = np.lexsort((ids, names))
     ranked = names[order]
+    del ids
     same = np.zeros(len(names) + 1, bool)
     same[1:-1] = ranked[1:] == ranked[:-1]
     later, twice = np.empty(len(names), bool), np.empty(len(names), bool)
