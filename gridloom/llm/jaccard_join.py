@@ -8,7 +8,10 @@
    2^-64 (that of two equal hashes). Classes without a signature in common can't be
    linked. Size levels make H depend on the set's size.
 2. Classes that signatures connect, directly or by others, form a candidate group.
-   It is one block, or if too large it is cut by size level and then by hash, and
+   Common passages connect ever more texts that are not alike, so groups that are
+   large are first split by their sets' rarest tokens (see _rare); only texts of
+   groups are fetched, where they lie. A group is one block, or if still too large
+   it is cut by size level and then by hash, and
    blocks meet in pairs of compatible sizes. They are joined by dual traversal of
    signature trees: a node holds the OR of its sets' token bitmaps and the range of
    their sizes, and a pair of nodes is left out when the largest possible overlap
@@ -35,16 +38,21 @@ from pyspark.sql import functions as F
 from ._bytes import U, mix, releasing, text_bytes, word_hashes
 from ._components import components
 from ._names import LAST_ID, blocks
-from ._shared import buckets_for, settle
+from ._rare import cuts, rare_links, star
+from ._shared import SharedDir, buckets_for, settle
 from ._skew import join_unique
 
 BITS = 2048
 FANOUT = 16
+#: Bits of a row's number within its partition.
+PART = 33
 #: Chance, at most, that a link between two sets at the threshold is not found.
 MISS = 2.0**-64
 #: Weight of a block of a candidate group: tokens, and SET for each set's bitmap.
 BLOCK_WEIGHT = 1 << 20
 SET = 64
+#: Weight from which on a candidate group is split by rare tokens.
+LARGE = BLOCK_WEIGHT // 4
 
 
 def shingle_sets(column: pa.Array, n: int) -> list[np.ndarray]:
@@ -232,6 +240,38 @@ def numbered(docs: DataFrame) -> DataFrame:
     return docs.withColumn("row", F.monotonically_increasing_id())
 
 
+def fetched(slim: DataFrame, members: DataFrame) -> DataFrame:
+    """class_id, large, text of ``members`` (class_id, rep, large), by their row ``rep`` in ``slim``. No text is shuffled: each partition of ``slim`` reads which of its rows are wanted."""
+    out = SharedDir.new(slim.sparkSession, "wanted")
+
+    def keep(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rep")
+        rows, ids, large = (table[c].combine_chunks().cast(pa.int64()).to_numpy() for c in ("rep", "class_id", "large"))
+        out.write(str(rows[0] >> PART), rows, ids, large)
+        return pa.table({"n": pa.array([len(rows)], pa.int64())})
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, seen = None, 0
+        for batch in batches:
+            rows = batch["row"].to_numpy()
+            if not len(rows):
+                continue
+            if wanted is None:
+                wanted, part = np.empty((3, 0), np.int64), str(rows[0] >> PART)
+                if out.exists(part):
+                    with out.open(part) as f:
+                        wanted = np.frombuffer(f.read(), np.int64).reshape(3, -1)
+            mine = wanted[:, seen : np.searchsorted(wanted[0], rows[-1], "right")]
+            seen += mine.shape[1]
+            if mine.size:
+                yield pa.record_batch({"class_id": pa.array(mine[1]), "large": pa.array(mine[2]).cast(pa.bool_()), "text": batch["text"].take(pa.array(mine[0] - rows[0]))})
+        if wanted is not None and seen < wanted.shape[1]:
+            raise RuntimeError("the input's partitions changed between two reads")
+
+    members.groupBy(F.shiftright("rep", PART)).applyInArrow(keep, "n long").agg({"n": "sum"}).collect()
+    return slim.select("row", "text").mapInArrow(fetch, "class_id long, large boolean, text string")
+
+
 def jaccard_components(docs: DataFrame, n: int = 3, threshold: float = 0.9) -> DataFrame:
     """Links documents whose word n-gram sets have a Jaccard likeness of at least ``threshold``.
 
@@ -269,14 +309,8 @@ def jaccard_rows(docs: DataFrame, n: int, threshold: float) -> DataFrame:
             sigs = [signatures(sets[i], levels) for i in once]
             who = np.repeat(ids[once], [len(s) for s in sigs])
             sig = np.concatenate(sigs) if sigs else np.empty(0, U)
-            order = np.lexsort((who, sig))
-            sig, who = sig[order], who[order]
-            new = np.ones(len(sig), bool)
-            new[1:] = sig[1:] != sig[:-1]
-            chief = who[new][np.cumsum(new) - 1] if len(sig) else who
-            pairs = np.unique(np.stack([who[~new], chief[~new]], axis=1), axis=0) if (~new).any() else np.empty((0, 2), np.int64)
-            sig, who = sig[new], who[new]
-            ends = np.searchsorted((sig >> U(40)) * U(n_buckets) >> U(24), np.arange(n_buckets + 1, dtype=U), "left")
+            sig, who, pairs = star(sig, who)
+            ends = cuts(sig, n_buckets)
             rows = block.table["row"].combine_chunks().to_numpy()
             info = np.stack([np.where(block.ids == LAST_ID, np.iinfo(np.int64).min, block.ids), sizes, ids, rows])
             home = zlib.crc32(block.key.encode()) % n_buckets
@@ -297,14 +331,8 @@ def jaccard_rows(docs: DataFrame, n: int, threshold: float) -> DataFrame:
             pairs.append(x[3 + 4 * a : 3 + 4 * a + 2 * b].reshape(b, 2))
             sigs.append(x[(at := 3 + 4 * a + 2 * b) : at + c].view(U))
             whos.append(x[at + c : at + 2 * c])
-        sig, who, info = np.concatenate(sigs), np.concatenate(whos), np.concatenate(infos, axis=1)
-        order = np.lexsort((who, sig))
-        sig, who = sig[order], who[order]
-        new = np.ones(len(sig), bool)
-        new[1:] = sig[1:] != sig[:-1]
-        chief = who[new][np.cumsum(new) - 1] if len(sig) else who
-        pair = np.concatenate([*pairs, np.stack([who, chief], axis=1)[who != chief]])
-        pair = np.unique(pair, axis=0)
+        info = np.concatenate(infos, axis=1)
+        pair = np.unique(np.concatenate([*pairs, star(np.concatenate(sigs), np.concatenate(whos))[2]]), axis=0)
         m, k = info.shape[1], len(pair)
         return pa.table({
             "size": pa.array(np.concatenate([info[1], np.full(k, -1, np.int64)])),
@@ -321,23 +349,27 @@ def jaccard_rows(docs: DataFrame, n: int, threshold: float) -> DataFrame:
     groups = components(met.where("size = -1").select(F.col("a").alias("u"), F.col("b").alias("v")))
     groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
     ratio = math.log(max(float(1 / t), 1.01))
-    members = (
-        groups.join(classes, F.col("node") == F.col("class_id"))
-        .select("root", "class_id", "rep", "size", F.floor(F.log("size") / ratio + 1e-9).alias("lvl"))
-        .withColumn("cell", F.concat_ws(":", "root", "lvl"))
-    )
-    members = settle(members, "members")
+    members = settle(groups.join(classes, F.col("node") == F.col("class_id")).select("root", "class_id", "rep", "size"), "members")
+    weights = settle(members.groupBy("root").agg(F.sum(F.col("size") + SET).alias("w"), F.count("*").alias("k")).select("root", "k", (F.col("w") > LARGE).alias("large")), "weights")
+    members = settle(join_unique(members, weights, "root", "k", ["large"]), "members")
+    texts = settle(fetched(slim, members.select("class_id", "rep", "large")), "texts")
+    if weights.where("large").limit(1).count():
+        parts = settle(components(rare_links(texts.where("large").select(F.col("class_id").alias("doc_id"), "text"), n, t, n_buckets)), "parts")
+        parts = parts.unionByName(parts.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "part")
+        split = members.where("large").join(parts, F.col("class_id") == F.col("node"))
+        members = settle(members.where("not large").select("root", "class_id", "size").unionByName(split.select(F.col("part").alias("root"), "class_id", "size")), "members")
+    members = members.select("root", "class_id", "size", F.floor(F.log("size") / ratio + 1e-9).alias("lvl")).withColumn("cell", F.concat_ws(":", "root", "lvl"))
     cells = members.groupBy("root", "lvl", "cell").agg(F.sum(F.col("size") + SET).alias("w"), F.count("*").alias("n_cell"))
     whole = cells.groupBy("root").agg(F.sum("w").alias("w_root"))
     cells = cells.join(whole, "root").select("cell", "n_cell", F.when(F.col("w_root") > BLOCK_WEIGHT, F.ceil(F.col("w") / BLOCK_WEIGHT)).otherwise(0).alias("n_blk"))
     part = F.col("lvl") * (1 << 32) + F.pmod(F.xxhash64("class_id"), F.col("n_blk"))
-    blocks_of = join_unique(members, cells, "cell", "n_cell", ["n_blk"]).select("root", "class_id", "rep", "size", F.when(F.col("n_blk") > 0, part).otherwise(-1).alias("blk"))
+    blocks_of = join_unique(members, cells, "cell", "n_cell", ["n_blk"]).select("root", "class_id", "size", F.when(F.col("n_blk") > 0, part).otherwise(-1).alias("blk"))
     blocks_of = settle(blocks_of, "blocks")
     spans = blocks_of.groupBy("root", "blk").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
     near = spans.alias("x").join(spans.alias("y"), F.expr(f"x.root = y.root AND x.blk <= y.blk AND x.hi * {t.denominator} >= {t.numerator} * y.lo")).select(F.col("x.root").alias("root"), F.col("x.blk").alias("i"), F.col("y.blk").alias("j"))
     wanted = near.select("root", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("blk"))
-    tiles = blocks_of.join(wanted, ["root", "blk"]).select("root", "i", "j", "blk", "class_id", "rep")
-    found = tiles.join(slim, F.col("rep") == F.col("row")).select("root", "i", "j", "blk", "class_id", "text")
+    tiles = blocks_of.join(wanted, ["root", "blk"]).select("root", "i", "j", "blk", "class_id")
+    found = tiles.join(texts, "class_id").select("root", "i", "j", "blk", "class_id", "text")
 
     @releasing
     def compare(table: pa.Table) -> pa.Table:

@@ -52,6 +52,51 @@ def test_jaccard_null_id_is_compared(spark):
     assert [r.component_id for r in unknown] == [None, None]
 
 
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
+def test_jaccard_common_passage_makes_no_large_group(spark, monkeypatch, n, percent):
+    monkeypatch.setattr(jaccard_join, "BLOCK_WEIGHT", 2000)
+    monkeypatch.setattr(jaccard_join, "LARGE", 500, raising=False)
+    compared = []
+
+    def counted(df, name):
+        out = settle(df, name)
+        if name == "blocks":
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "settle", counted)
+    r = random.Random(3)
+    rows = []
+    for i in range(150):  # texts of their own around one passage, some with a copy that differs in one word
+        own = [f"o{i}x{k}" for k in range(40)]
+        at = r.randint(0, 40)
+        text = [*own[:at], *[f"p{k}" for k in range(60)], *own[at:]]
+        rows.append((i, " ".join(text)))
+        if i % 10 == 0:
+            text[r.randrange(100)] = "other"
+            rows.append((1000 + i, " ".join(text)))
+    rows += [(2000 + i, " ".join(f"p{k}" for k in range(60) if k != i)) for i in range(3)]  # the passage itself
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.jaccard_components(as_documents(spark, rows), n, percent / 100).collect()}
+    assert got == brute.jaccard(rows, n, percent)
+    assert compared[0] <= 60  # not all 168
+
+
+def test_jaccard_split_by_rare_tokens_keeps_all_links(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_WEIGHT", 2000)
+    monkeypatch.setattr(jaccard_join, "LARGE", 0, raising=False)
+    r = random.Random(5)
+    base = [[r.choice("abcdefghijklmnop") + r.choice("xyz") for _ in range(r.randint(1, 150))] for _ in range(12)]
+    rows = [(0, None), (1, " ")]
+    for i in range(2, 250):
+        w = list(r.choice(base))
+        for _ in range(r.choice([0, 0, 1, 1, 2, 3, 5, 9])):
+            w[r.randrange(len(w))] = r.choice("QRSTUV")
+        rows.append((i, " ".join(w[: r.randint(0, 3)] if r.random() < 0.1 else w)))
+    for n, percent in ((3, 90), (5, 80)):
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.jaccard_components(as_documents(spark, rows), n, percent / 100).collect()}
+        assert got == brute.jaccard(rows, n, percent)
+
+
 def test_pipeline_drops_null_id_copies(spark):
     import corpus_pipeline
 
