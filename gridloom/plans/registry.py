@@ -547,9 +547,9 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, r = files.shared_folder(spark, "tiffs"), B.raster(spark, sf_dir)
     size = r.agg(F.max("row"), F.max("col")).first()
     grid = Grid(1000.0, 30.0, 9000.0, -30.0, (size[1] or 0) + 1, (size[0] or 0) + 1, 3035)
-    rasters.save_layers(r.select(F.lit("v").alias("name"), "row", "col", "value"), folder, grid).collect()
-    rasters.save_layers(r.select(F.lit("class").alias("name"), "row", "col", F.col("label").cast("double").alias("value")), folder, Grid(1000.0, 30.0, 9000.0, -30.0, grid.width, grid.height, 3035, 0.0), "uint8").collect()
-    layers = spark.createDataFrame([("g", f"{folder}/{n}.tif", 1, None, None, n) for n in ("v", "class")], "grp string, path string, band int, start_date date, end_date date, name string")
+    written = rasters.save_layers(r.select(F.lit("v").alias("name"), "row", "col", "value"), folder, grid).collect()
+    written += rasters.save_layers(r.select(F.lit("class").alias("name"), "row", "col", F.col("label").cast("double").alias("value")), folder, Grid(1000.0, 30.0, 9000.0, -30.0, grid.width, grid.height, 3035, 0.0), "uint8").collect()
+    layers = spark.createDataFrame([("g", w.path, 1, None, None, w.name, w.row0, w.col0, grid.width) for w in written], "grp string, path string, band int, start_date date, end_date date, name string, row0 long, col0 long, width long")
     return rounded(rasters.read_layers(layers, window=(10, 10, 30, 32)).select("name", "row", "col", "value"), digits=4)
 
 

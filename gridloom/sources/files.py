@@ -46,8 +46,3 @@ def write_whole(path: str, data: bytes) -> None:
 
 def _local(path: str) -> str:
     return "/" + path[len("file:") :].lstrip("/") if path.startswith("file:") else path
-
-
-def plain(path: str) -> str:
-    """A path as it compares: without ``file:``."""
-    return _local(path)

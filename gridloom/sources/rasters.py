@@ -42,43 +42,53 @@ def read_layers(layers: DataFrame, window: tuple[int, int, int, int] | None = No
     mask: cells (row, col, mask); where mask is 0 or missing the value is null. Missing
     cells (nodata, NaN) are null. px counts the cells of a row first.
 
+    A layer of many files (see save_layers) has a row for each, with row0 and col0, the
+    file's first row and column in the layer, and width, the layer's columns. Windows,
+    rows, columns and px are the layer's; a file that lies outside adds no cells.
+
     A file that can't be read raises, or with on_error "null" is a layer of nulls (with
-    a window) or of no cells. Files come by Spark's own reader, from wherever it reads.
+    a window) or of no cells (also if it is one of many). Files come by Spark's own
+    reader, from wherever it reads.
     """
     if overview is not None and overview < 1:
         raise ValueError(f"no overview of level {overview}")
     spark = layers.sparkSession
+    if "row0" not in layers.columns:
+        layers = layers.withColumns({c: F.lit(None).cast("long") for c in ("row0", "col0", "width")})
+    elif window and not bounds:  # files that begin behind the window are not opened
+        layers = layers.where(F.col("row0").isNull() | ((F.col("row0") < window[0] + window[2]) & (F.col("col0") < window[1] + window[3])))
     paths = [r.path for r in layers.select("path").distinct().collect()]  # a catalog is small
     if not paths:
         return spark.createDataFrame([], f"px long, {CELL}, grp string, start_date date, end_date date, name string")
-    asked = {p: files.plain(p) for p in paths}
-    keys = layers.select(*["grp", F.coalesce("band", F.lit(1)).cast("long").alias("band"), "start_date", "end_date", "name"], F.create_map(*[F.lit(x) for pair in asked.items() for x in pair])[F.col("path")].alias("at"))
-    content = spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^file:/+", "/").alias("at"), "content")
-    rows = keys.join(content, "at").select("grp", "band", "start_date", "end_date", "name", "content")
+    at = F.regexp_replace("path", "^file:/*", "/").alias("at")  # as it compares
+    keys = layers.select("grp", F.coalesce("band", F.lit(1)).cast("long").alias("band"), "start_date", "end_date", "name", *[F.col(c).cast("long") for c in ("row0", "col0", "width")], at)
+    content = spark.read.format("binaryFile").load(paths).select(at, "content")
+    rows = keys.join(content, "at").select("grp", "band", "start_date", "end_date", "name", "row0", "col0", "width", "content")
     schema = pa.schema([("grp", pa.string()), ("start_date", pa.date32()), ("end_date", pa.date32()), ("name", pa.string()), ("width", pa.int64()), ("row", pa.int64()), ("col", pa.int64()), ("value", pa.float64())])
 
-    def part(raw: bytes, band: int) -> tuple[int, int, int, np.ndarray]:
-        """First row, first column, the raster's width, values."""
+    def part(raw: bytes, band: int, row0: int | None, col0: int | None, width: int | None) -> tuple[int, int, int, np.ndarray]:
+        """First row, first column, the layer's width, values."""
         try:
             t = Tiff(raw)
             g = t.grid
-            row, col, high, wide = g.box(*bounds) if bounds else window or (0, 0, g.height, g.width)
+            down, right = row0 or 0, col0 or 0
+            row, col, high, wide = g.box(*bounds) if bounds else (window[0] - down, window[1] - right, *window[2:]) if window else (0, 0, g.height, g.width)
             r0, c0, r1, c1 = max(row, 0), max(col, 0), min(row + high, g.height), min(col + wide, g.width)
             if r0 >= r1 or c0 >= c1:
-                return row, col, g.width, np.full((high, wide), np.nan)
+                return row, col, width or g.width, np.full((high, wide) if row0 is None else (0, 0), np.nan)
             v = t.read(band, (r0, c0, r1 - r0, c1 - c0)).astype(float)
-            return r0, c0, g.width, v if g.nodata is None else np.where(v == g.nodata, np.nan, v)
+            return down + r0, right + c0, width or g.width, v if g.nodata is None else np.where(v == g.nodata, np.nan, v)
         except (ValueError, KeyError, IndexError, OSError):
             if on_error != "null":
                 raise
-            row, col, high, wide = window or (0, 0, 0, 0)
+            row, col, high, wide = window if window and row0 is None else (0, 0, 0, 0)
             return row, col, col + wide, np.full((high, wide), np.nan)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                grp, band, start, end, name = (batch.column(c)[i].as_py() for c in range(5))
-                row, col, width, v = part(batch.column(5)[i].as_buffer().to_pybytes(), band)
+                grp, band, start, end, name, *place = (batch.column(c)[i].as_py() for c in range(8))
+                row, col, width, v = part(batch.column(8)[i].as_buffer().to_pybytes(), band, *place)
                 at, left = np.indices(v.shape)
                 at, left = at + row, left + col
                 if overview:

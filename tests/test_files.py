@@ -3,6 +3,7 @@
 import os
 from datetime import date
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from gridloom.container import Cube
 from gridloom.functions import rows
 from gridloom.operators import eo, mapper, metrics, runners
+from gridloom.plans import registry
 from gridloom.sources import cube_io, geotiff, rasters, toy
 
 GRID = geotiff.Grid(10.0, 30.0, 500.0, -30.0, 77, 130, 3035, 255.0)
@@ -127,6 +129,32 @@ def test_save_layers_in_blocks(spark, tmp_path):
     assert geotiff.Tiff(open(files[0].path, "rb").read()).read()[0, 0] == 1  # 0 is nodata
 
 
+def test_read_layers_of_many_files(spark, tmp_path):
+    cells = spark.createDataFrame([("n", r, c, float(r * 10 + c + 1)) for r in range(5) for c in range(5)], "name string, row long, col long, value double")
+    written = rasters.save_layers(cells, str(tmp_path), geotiff.Grid(0.0, 10.0, 50.0, -10.0, 5, 5, 3035, 0.0), "uint8", block=2).collect()
+    layers = spark.createDataFrame([("g", f.path, 1, None, None, f.name, f.row0, f.col0, 5) for f in written], "grp string, path string, band int, start_date date, end_date date, name string, row0 long, col0 long, width long")
+
+    def read(**kw):
+        return sorted((r.row, r.col, r.px, r.value) for r in rasters.read_layers(layers, **kw).collect())
+
+    assert read() == [(r, c, r * 5 + c, float(r * 10 + c + 1)) for r in range(5) for c in range(5)]
+    assert read(window=(1, 1, 2, 3)) == read(bounds=(10.0, 20.0, 40.0, 40.0)) == [(r, c, r * 5 + c, float(r * 10 + c + 1)) for r in (1, 2) for c in (1, 2, 3)]
+    assert read(overview=3) == [(r, c, r * 2 + c, float(r * 30 + c * 3 + 1)) for r in (0, 1) for c in (0, 1)]
+    with open(next(f.path for f in written if (f.row0, f.col0) == (2, 2)), "wb") as f:
+        f.write(b"nothing")
+    assert {r[:2] for r in read(window=(1, 1, 3, 3), on_error="null")} == {(1, 1), (1, 2), (1, 3), (2, 1), (3, 1)}
+
+
+def test_round_trip_of_a_raster_in_blocks(spark, tmp_path):
+    rows = [(i, [float((i * 64 + j) % 977) / 8 for j in range(64)], i % 10) for i in range(2060)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(f"SELECT name, row, col, value FROM ({registry.SQL['geotiff_round_trip']})").fetchall()
+    got = registry.QUERIES["geotiff_round_trip"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
 def test_container(spark, stored, tmp_path):
     path, a = stored
     os.rename(path, f"{tmp_path}/a_20150101_20150131.tif")
