@@ -10,7 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .temporal import matrix, to_series
+from .temporal import to_series
+
+#: Cells that a task works on at once, and about the most rows of a batch that it returns.
+CELLS = 1 << 17
+#: More than all days of a calendar together; keeps pairs of days apart.
+DAYS = 1 << 26
 
 SIMPLE = {
     "sum": lambda v: F.coalesce(F.sum(v), F.lit(0.0)), "mean": F.avg, "std": F.stddev_pop, "var": F.var_pop,
@@ -39,7 +44,7 @@ def percent_of(op: str) -> int | None:
 
 
 def _kernel(op: str, single: bool) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
-    """A function of rows sorted with NaN behind, rows in order of time, and days of the columns."""
+    """A function of rows sorted with NaN behind, rows in order of time, and the days of their cells."""
 
     def share(q: float, low: int):  # noqa: ANN202
         def run(ranked: np.ndarray, rows: np.ndarray, days: np.ndarray) -> np.ndarray:
@@ -61,7 +66,7 @@ def _kernel(op: str, single: bool) -> Callable[[np.ndarray, np.ndarray, np.ndarr
     def extreme(best):  # noqa: ANN001, ANN202
         def run(ranked: np.ndarray, rows: np.ndarray, days: np.ndarray) -> np.ndarray:
             none = np.isnan(rows).all(axis=1)
-            return np.where(none, np.nan, days[best(np.where(none[:, None], 0, rows), axis=1)])
+            return np.where(none, np.nan, days[np.arange(len(rows)), best(np.where(none[:, None], 0, rows), axis=1)])
 
         return run
 
@@ -82,8 +87,9 @@ def time_aggregate(cube: DataFrame, windows: DataFrame, ops: list[str], overlap:
 
     Layers belong to a window that contains them (or overlaps them); windows of one
     win_id pool theirs. A pixel's series meets all windows in one place: cells are
-    shuffled once, by pixel, whatever the number of windows and operations. NaN counts
-    as null. argmin and argmax give the day (since 1970) of the first such layer.
+    shuffled once, by pixel, whatever the number of windows and operations. A task takes
+    CELLS at a time, so that its memory doesn't grow with the table. NaN counts as null.
+    argmin and argmax give the day (since 1970) of the first such layer.
     """
     rows_of: dict[tuple, list[tuple[int, int]]] = {}
     names = [(o, _kernel(o, single)) for o in ops]
@@ -92,37 +98,52 @@ def time_aggregate(cube: DataFrame, windows: DataFrame, ops: list[str], overlap:
     series = to_series(cube).select("px", "grp", F.transform("ts.start_date", F.unix_date).alias("a"), F.transform("ts.end_date", F.unix_date).alias("b"), F.col("ts.value").alias("v"))
     px = cube.schema["px"].dataType.simpleString()
 
+    def tables(part: pa.RecordBatch) -> Iterator[tuple[np.ndarray, str, tuple[int, int], np.ndarray]]:
+        """Of every window and operation the series that have layers in it, the suffix, first and last day, and values."""
+        owner = np.repeat(np.arange(len(part)), np.diff(part.column(2).offsets.to_numpy()))
+        a, b, v = (part.column(i).flatten().to_numpy(zero_copy_only=False).astype(float) for i in (2, 3, 4))
+        code = pa.array(a * DAYS + b).dictionary_encode().indices.to_numpy()  # layers by their days, which are few
+        cells = np.argsort(code, kind="stable")
+        edges = np.flatnonzero(np.diff(code[cells], prepend=-1, append=-1))
+        starts, ends = a[cells[edges[:-1]]], b[cells[edges[:-1]]]
+        for (_, tm, out_start, out_end), sel in rows_of.items():
+            inside = np.zeros(len(starts), bool)
+            for lo, hi in sel:
+                inside |= (ends >= lo) & (starts <= hi) if overlap else (starts >= lo) & (ends <= hi)
+            if not inside.any():
+                continue
+            at = np.sort(np.concatenate([cells[edges[i] : edges[i + 1]] for i in np.flatnonzero(inside)]))  # by series and time
+            new = np.diff(owner[at], prepend=-1) != 0
+            first, row = np.flatnonzero(new), np.cumsum(new) - 1
+            col = np.arange(len(at)) - first[row]
+            rows = np.full((len(first), col.max() + 1), np.nan)
+            rows[row, col] = v[at]
+            days = np.zeros(rows.shape)
+            days[row, col] = a[at]
+            ranked = np.sort(rows, axis=1)
+            for op, kernel in names:
+                with np.errstate(invalid="ignore"):
+                    yield owner[at[first]], f".{tm}.{op}" if tm else f".{op}", (_number(out_start), _number(out_end)), kernel(ranked, rows, days)
+
+    def packed(part: pa.RecordBatch, made: list[tuple]) -> pa.RecordBatch:
+        own, suffixes, spans, values = zip(*made, strict=True)
+        sizes, at, value = [len(x) for x in own], pa.array(np.concatenate(own)), np.concatenate(values)
+        suffix = pa.DictionaryArray.from_arrays(pa.array(np.repeat(np.arange(len(sizes)), sizes), pa.int32()), pa.array(suffixes, pa.string())).cast(pa.string())
+        days = [pa.array(np.repeat([x[i] for x in spans], sizes).astype(np.int32)).cast(pa.date32()) for i in (0, 1)]
+        return pa.record_batch([part.column(0).take(at), part.column(1).take(at), suffix, *days, pa.array(value, mask=np.isnan(value))], names=["px", "grp", "suffix", "start_date", "end_date", "value"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, sizes = matrix(batch.column(4))
-            starts, ends = (matrix(batch.column(i))[0] for i in (2, 3))
-            kinds, kind = (np.zeros(1, int), np.zeros(len(x), int)) if _alike(starts, ends, sizes) else np.unique(np.concatenate([starts, ends], axis=1), axis=0, return_index=True, return_inverse=True)[1:]
-            picked, labels, spans, values = [], [], [], []
-            for i, first in enumerate(kinds.tolist()):
-                own = np.flatnonzero(kind.reshape(-1) == i)
-                a, b, part = starts[first], ends[first], x[own]
-                for (_, tm, out_start, out_end), sel in rows_of.items():
-                    inside = np.zeros(len(a), bool)
-                    for lo, hi in sel:
-                        inside |= (b >= lo) & (a <= hi) if overlap else (a >= lo) & (b <= hi)
-                    if not inside.any():
-                        continue
-                    cells = part[:, inside]
-                    ranked = np.sort(cells, axis=1)
-                    for op, kernel in names:
-                        with np.errstate(invalid="ignore"):
-                            values.append(kernel(ranked, cells, a[inside]))
-                        picked.append(own)
-                        labels.append((len(own), "." + tm + "." + op if tm else "." + op))
-                        spans.append((len(own), _number(out_start), _number(out_end)))
-            if not picked:
-                continue
-            at, value = pa.array(np.concatenate(picked)), np.concatenate(values)
-            suffix = pa.DictionaryArray.from_arrays(pa.array(np.repeat(np.arange(len(labels)), [n for n, _ in labels]), pa.int32()), [s for _, s in labels]).cast(pa.string())
-            days = [pa.array(np.repeat([s[i] for s in spans], [s[0] for s in spans]).astype(np.int32)).cast(pa.date32()) for i in (1, 2)]
-            yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), suffix, *days, pa.array(value, mask=np.isnan(value))], names=["px", "grp", "suffix", "start_date", "end_date", "value"])
+            for part in _parts(batch, 2):
+                made, n = [], 0
+                for table in tables(part):
+                    made.append(table)
+                    n += len(table[0])
+                    if n >= CELLS:
+                        yield packed(part, made)
+                        made, n = [], 0
+                if made:
+                    yield packed(part, made)
 
     out = series.mapInArrow(run, f"px {px}, grp string, suffix string, start_date date, end_date date, value double")
     return out.select("px", F.concat("grp", "suffix").alias("grp"), "start_date", "end_date", "value")
@@ -132,9 +153,16 @@ def _number(day) -> int:  # noqa: ANN001
     return day.toordinal() - 719163
 
 
-def _alike(starts: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> bool:
-    """All series of a batch have the same layers."""
-    return bool((sizes == sizes[0]).all() and (starts == starts[:1]).all() and (ends == ends[:1]).all())
+def _parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch of series in slices that have at most CELLS cells as a matrix, or one series."""
+    first = widest = 0
+    for i, n in enumerate(np.diff(batch.column(column).offsets.to_numpy()).tolist()):
+        widest = max(widest, n)
+        if i > first and (i + 1 - first) * widest > CELLS:
+            yield batch.slice(first, i - first)
+            first, widest = i, n
+    if first < batch.num_rows:
+        yield batch.slice(first)
 
 
 def gap_counts(cube: DataFrame) -> DataFrame:

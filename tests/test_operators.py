@@ -1,7 +1,9 @@
 import math
+import tracemalloc
 from datetime import date, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +132,58 @@ def test_ragged_series_in_windows(spark):
     assert (1, 2016, "mean") not in have and have[1, 2015, "argmax"] == (date(2015, 3, 1) - date(1970, 1, 1)).days
 
 
+def _task(spark, monkeypatch, kind, ops, overlap=False):
+    """What time_aggregate runs in a task, over batches of its own."""
+    taken, empty = [], spark.createDataFrame([], SCHEMA)
+    real = type(empty).mapInArrow
+    monkeypatch.setattr(type(empty), "mapInArrow", lambda self, run, *args, **kw: taken.append(run) or real(self, run, *args, **kw))
+    aggregate.time_aggregate(empty, timedim.windows_df(spark, date(1995, 1, 1), date(2001, 12, 31), kind), ops, overlap)
+    return taken[0]
+
+
+def _ragged(n):
+    """A batch of n series, each with about three quarters of 84 months, and its cells in monthly windows: none with a 29 February, by the calendar's rule."""
+    r = np.random.default_rng(n)
+    days = [timedim.shift(date(1995, 1, 1), "months", i).toordinal() - 719163 for i in range(85)]
+    own = [np.flatnonzero(r.random(84) < 0.75) for _ in range(n)]
+    lists = [[[days[m + i] - i for m in x] for x in own] for i in (0, 1)]
+    v = [[None if r.random() < 0.1 else float(m % 7) for m in x] for x in own]
+    return pa.record_batch([pa.array(range(n), pa.int64()), pa.array(["g"] * n), *[pa.array(x, pa.list_(pa.int32())) for x in lists], pa.array(v, pa.list_(pa.float64()))], names=["px", "grp", "a", "b", "v"]), sum((~np.isin(x, (13, 61))).sum() for x in own)
+
+
+def test_time_aggregate_holds_a_bounded_part_of_a_batch(spark, monkeypatch):
+    monkeypatch.setattr(aggregate, "CELLS", 4000, raising=False)
+    run, peaks = _task(spark, monkeypatch, "monthly", ["mean", "max"]), []
+    for n in (100, 400):
+        batch, cells = _ragged(n)
+        tracemalloc.start()
+        assert sum(out.num_rows for out in run(iter([batch]))) == 2 * cells
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0]
+
+
+@pytest.mark.parametrize("overlap", [False, True])
+def test_time_aggregate_in_parts(spark, monkeypatch, overlap):
+    ops = ["sum", "mean", "std", "min", "max", "count", "p25", "p50", "argmin", "argmax"]
+    run, (batch, _) = _task(spark, monkeypatch, "bimonthly", ops, overlap), _ragged(40)
+    whole = [r for out in run(iter([batch])) for r in out.to_pylist()]
+    monkeypatch.setattr(aggregate, "CELLS", 300)
+    parts = list(run(iter([batch.slice(0, 0), batch.slice(0, 17), batch.slice(17)])))
+    key = lambda r: (r["px"], r["suffix"], r["start_date"])
+    assert len(parts) > 10 and sorted((r for out in parts for r in out.to_pylist()), key=key) == sorted(whole, key=key)
+    layers = list(zip(*[batch[c][5].as_py() for c in "abv"], strict=True))
+    for start, end in {r["start_date"]: r["end_date"] for r in whole}.items():
+        lo, hi = (d.toordinal() - 719163 for d in (start, end))
+        mine = {a: v for a, b, v in layers if (b >= lo and a <= hi if overlap else a >= lo and b <= hi)}
+        seen = {d: v for d, v in mine.items() if v is not None}
+        got = {r["suffix"]: r["value"] for r in whole if r["px"] == 5 and r["start_date"] == start}
+        assert bool(got) == bool(mine)
+        if got:
+            best = (max(seen, key=seen.get), min(seen, key=seen.get)) if seen else (None, None)
+            assert (got[".argmax"], got[".argmin"], got[".count"], got[".sum"]) == (*best, len(seen), sum(seen.values()))
+
+
 def test_tiles_blocks_and_polygons(spark):
     t = {r.tile_id: tuple(r)[1:] for r in spatial.tiles(spark, 2, 0, 0, 5, 3).collect()}
     assert len(t) == 6 and t[0] == (0, 0, 2, 2) and t[1] == (0, 2, 2, 3) and t[4] == (4, 0, 5, 2) and t[5] == (4, 2, 5, 3)
