@@ -132,12 +132,12 @@ def test_ragged_series_in_windows(spark):
     assert (1, 2016, "mean") not in have and have[1, 2015, "argmax"] == (date(2015, 3, 1) - date(1970, 1, 1)).days
 
 
-def _task(spark, monkeypatch, kind, ops, overlap=False):
+def _task(spark, monkeypatch, kind, ops, overlap=False, pad=0):
     """What time_aggregate runs in a task, over batches of its own."""
     taken, empty = [], spark.createDataFrame([], SCHEMA)
     real = type(empty).mapInArrow
     monkeypatch.setattr(type(empty), "mapInArrow", lambda self, run, *args, **kw: taken.append(run) or real(self, run, *args, **kw))
-    aggregate.time_aggregate(empty, timedim.windows_df(spark, date(1995, 1, 1), date(2001, 12, 31), kind), ops, overlap)
+    aggregate.time_aggregate(empty, timedim.windows_df(spark, date(1995, 1, 1), date(2001, 12, 31), kind, pad), ops, overlap)
     return taken[0]
 
 
@@ -163,6 +163,21 @@ def test_time_aggregate_holds_a_bounded_part_of_a_batch(spark, monkeypatch):
     assert peaks[1] < 1.5 * peaks[0]
 
 
+@pytest.mark.parametrize(("kind", "ops", "pad"), [
+    ("monthly", ["mean", "count"], 15),
+])
+def test_windows_of_any_kind_hold_a_bounded_part_of_a_batch(spark, monkeypatch, kind, ops, pad):
+    monkeypatch.setattr(aggregate, "CELLS", 4000, raising=False)
+    run, peaks = _task(spark, monkeypatch, kind, ops, pad=pad), []
+    for n in (100, 400):
+        batch, _ = _ragged(n)
+        tracemalloc.start()
+        assert sum(out.num_rows for out in run(iter([batch])))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0]
+
+
 @pytest.mark.parametrize("overlap", [False, True])
 def test_time_aggregate_in_parts(spark, monkeypatch, overlap):
     ops = ["sum", "mean", "std", "min", "max", "count", "p25", "p50", "argmin", "argmax"]
