@@ -167,6 +167,7 @@ def test_time_aggregate_holds_a_bounded_part_of_a_batch(spark, monkeypatch):
     ("monthly", ["mean", "count"], 15),
     ("quarterly", ["mean", "min"], 0),
     ("bimonthly", ["p25", "p50", "p75"], 0),
+    ("monthly_longterm", ["mean", "std"], 0),
 ])
 def test_windows_of_any_kind_hold_a_bounded_part_of_a_batch(spark, monkeypatch, kind, ops, pad):
     monkeypatch.setattr(aggregate, "CELLS", 4000, raising=False)
