@@ -168,6 +168,7 @@ def test_time_aggregate_holds_a_bounded_part_of_a_batch(spark, monkeypatch):
     ("quarterly", ["mean", "min"], 0),
     ("bimonthly", ["p25", "p50", "p75"], 0),
     ("monthly_longterm", ["mean", "std"], 0),
+    ("bimonthly_longterm", ["p50"], 0),
 ])
 def test_windows_of_any_kind_hold_a_bounded_part_of_a_batch(spark, monkeypatch, kind, ops, pad):
     monkeypatch.setattr(aggregate, "CELLS", 4000, raising=False)
